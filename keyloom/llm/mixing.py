@@ -15,11 +15,16 @@ table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import materialize, ship, table, word_count
 
@@ -139,5 +144,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     )
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def word_span(text: str, first: int, n: int) -> str:
+    """The text from the start of word `first` to the end of the n-th word from there."""
+    at = [m.span() for m in itertools.islice(_WORD.finditer(text), first, first + n)]
+    return text[at[0][0] : at[-1][1]] if at else ""
+
+
+def _deal(columns: int, text: int, n_chars: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            own = batch.column(text).to_pylist()
+            dealt = zip(*(batch.column(columns + i).to_pylist() for i in range(4)), strict=True)
+            for i, (repeats, begin, n, wrapped) in enumerate(dealt):
+                parts = [own[i]] * repeats
+                if n:
+                    parts.append(word_span(own[i], begin, n))
+                if wrapped:
+                    parts.append(word_span(own[i], 0, wrapped))
+                rows += [i] * len(parts)
+                texts += parts
+            out = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(columns)]
+            out[text] = pa.array(texts, batch.column(text).type)
+            if n_chars is not None:
+                out[n_chars] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.column(n_chars).type)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:columns])
+
+    return run
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows of docs as often as they are taken, each part of a document as a row with that part's text (and n_chars)."""
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    taken = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), "repeats", "once_more_from", "run", "wrapped")
+    # equal rows are told apart by number
+    nth = F.row_number().over(Window.partitionBy("_doc", "_text_key").orderBy(F.lit(1)))
+    own = docs.toDF(*names).withColumns({"_doc": F.col(at["doc_id"]), "_text_key": F.xxhash64(at["text"])}).withColumn("_nth", nth)
+    a, b = own.alias("a"), taken.withColumn("_nth", nth).alias("b")
+    joined = a.join(b, F.col("a._doc").eqNullSafe(F.col("b._doc")) & (F.col("a._text_key") == F.col("b._text_key")) & (F.col("a._nth") == F.col("b._nth")))
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
+    text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    dealt = joined.select(*[f"a.{n}" for n in names], "b.repeats", "b.once_more_from", "b.run", "b.wrapped")
+    return dealt.mapInArrow(_deal(len(names), text, n_chars), schema).toDF(*docs.columns)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -23,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import ship, table
 from keyloom.llm.kernels import U64, mix64, slabs, word_bounds, word_hashes
 
-MOST_LABELLED = 12_000
-POOL = 6_000
+MOST_LABELLED = 8_000
+POOL = 4_000
 ROUNDS = 3
 #: Documents that a view hands over in a round, and the least confidence.
 HAND_OVER = 400
 CONFIDENT = 0.95
-HASHED = 1 << 12
+HASHED = 1 << 10
 THRESHOLD = 0.5
 HELD_OUT = 2
 
@@ -129,7 +130,7 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 250) -> np.
     x = np.column_stack([x, np.ones(len(x), dtype=np.float32)])
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], dtype=np.float32)
-    rate = 4.0 / max(1e-9, float((weight[:, None] * x * x).sum(axis=1).sum()) + 4 * l2)
+    rate = 4.0 / max(1e-9, float(weight @ np.einsum("ij,ij->i", x, x)) + 4 * l2)
     t = 1.0
     for _ in range(steps):
         g = x.T @ (weight * (sigmoid(x @ v) - y)) + l2 * v
@@ -226,30 +227,35 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pool: i
     return co_train(both(rows), y, fold, both(more))
 
 
-_SCORES = "score double, content_score double, metadata_score double"
+_SCORES = ("score", "content_score", "metadata_score")
 
 
-def _score(model: CoTrained | None, columns: int):
+def _score(model: CoTrained | None, columns: int, text: int, lang: int, source: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.ones((3, batch.num_rows))
             if model is not None:
-                text, lang, source = (batch.column(columns + i) for i in range(3))
-                for lo, hi, c, m in views(text, lang.to_pylist(), source.to_pylist()):
+                for lo, hi, c, m in views(batch.column(text), batch.column(lang).to_pylist(), batch.column(source).to_pylist()):
                     out[:, lo:hi] = model.score(c, m)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(columns)], *[pa.array(x) for x in out]], names=[*batch.schema.names[:columns], "score", "content_score", "metadata_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *[pa.array(x) for x in out]], names=[*batch.schema.names[:columns], *_SCORES])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id) of every row of docs with score (near 1: good), content_score and metadata_score."""
+def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), at_least: float | None = None) -> DataFrame:
+    """The columns `keep` of every row of docs, then score (near 1: good), content_score and metadata_score.
+
+    With `at_least` only rows of that score or more, without the scores: then `keep` may have columns of these names.
+    """
     ship(docs.sparkSession)
-    keep = keep or ["doc_id"]
     model = learn(docs, labels)
-    own = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    types = ", ".join(f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return own.mapInArrow(_score(model, len(keep)), f"{types}, {_SCORES}").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    read = [*keep, *[c for c in ("text", "lang", "source") if c not in keep]]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(read)])
+    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(c, T.DoubleType()) for c in _SCORES])
+    scored = own.mapInArrow(_score(model, len(keep), *[read.index(c) for c in ("text", "lang", "source")]), schema)
+    if at_least is not None:
+        scored = scored.where(F.col("score") >= at_least).drop(*_SCORES)
+    return scored.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import materialize, partitions, ship, table
 from keyloom.llm.kernels import _BASE, _BYTE, U64, gram_hashes, mix64, slabs, sliding_min
@@ -150,6 +151,8 @@ def _unblock(block: bytes) -> tuple[np.ndarray, ...]:
     return ids[local], crcs[local], gram, run, first.astype(np.int64), count.astype(np.int64), decided
 
 
+_TEXTS = [T.StructField("doc", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("packed", T.BinaryType())]
+_COUNTS = [T.StructField(n, T.LongType()) for n in ("doc_id", "crc", "n_bytes", "n_removed", "n_spans")]
 _RUNS = "doc long, crc long, first long, windows int, leaf long, gram long"
 
 
@@ -186,12 +189,12 @@ def _run_rows(doc, crc, first, windows, leaf, gram) -> pa.RecordBatch:
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, crc, packed): the text's bytes compressed, for the shuffle."""
+    """(doc, crc, packed, other columns): the text's bytes compressed, for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
         doc = [NULL_ID if k is None else k for k in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary())], names=["doc", "crc", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary()), *batch.columns[2:]], names=["doc", "crc", "packed", *batch.schema.names[2:]])
 
 
 def _fetch(n_shards: int, width: int):
@@ -291,21 +294,31 @@ def _repeats(rows, doc, crc, first, windows, left, data, offsets, width) -> pa.R
 
 
 def repeat_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): texts (doc, crc, packed) and the ranges to remove (doc, crc, begin, end), which may overlap."""
+    """(texts, ranges): texts (doc, crc, packed, other columns of docs as they are) and the ranges to remove (doc, crc, begin, end), which may overlap.
+
+    docs has doc_id and text first.
+    """
     spark = docs.sparkSession
     ship(spark)
     n_shards = partitions(spark)
-    docs = docs.select("doc_id", "text")
-    blocks = docs.mapInArrow(_anchors(n_shards, width), "shard int, block binary").repartitionById(n_shards, "shard")
+    others = docs.schema.fields[2:]
+    blocks = docs.select("doc_id", "text").mapInArrow(_anchors(n_shards, width), "shard int, block binary").repartitionById(n_shards, "shard")
     runs = materialize(blocks.mapInArrow(_merge, _RUNS), "runs")
-    texts = docs.mapInArrow(_squeeze, "doc long, crc long, packed binary")
+    texts = docs.mapInArrow(_squeeze, T.StructType([*_TEXTS, *others]))
     wanted = runs.where(F.col("leaf").isNotNull()).groupBy("doc", "crc").agg(F.collect_list(F.struct("first", "windows", "gram")).alias("wanted"))
-    leaves = texts.join(wanted, ["doc", "crc"]).select("doc", "crc", "packed", "wanted").mapInArrow(_fetch(n_shards, width), "shard int, block binary")
+    # all columns are read here too, so that both joins can share one shuffle of the texts
+    leaves = texts.join(wanted, ["doc", "crc"]).select("doc", "crc", "packed", "wanted", *[f.name for f in others]).mapInArrow(_fetch(n_shards, width), "shard int, block binary")
     found = leaves.repartitionById(n_shards, "shard").mapInArrow(_scan(width), "doc long, crc long, begin long, end long")
     full = runs.where(F.col("leaf").isNull()).select("doc", "crc", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (width - 1)).alias("end"))
     return texts, full.unionByName(found)
 
 
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_cut() with `kept` as text, without what is left of a character that a cut has split."""
+    for batch in _cut(batches):
+        yield batch.set_column(5, "kept", pa.array([x.decode("utf-8", "ignore") for x in batch.column(5).to_pylist()], pa.string()))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -321,8 +334,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(text), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None if d == NULL_ID else d for d in docs], pa.int64()), pa.array(crcs, pa.int64()), *[pa.array(list(c), pa.int64()) for c in columns[:3]], pa.array(list(columns[3]), pa.binary())],
-            names=["doc_id", "crc", "n_bytes", "n_removed", "n_spans", "kept"],
+            [pa.array([None if d == NULL_ID else d for d in docs], pa.int64()), pa.array(crcs, pa.int64()), *[pa.array(list(c), pa.int64()) for c in columns[:3]], pa.array(list(columns[3]), pa.binary()), *batch.columns[4:]],
+            names=["doc_id", "crc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[4:]],
         )
 
 
@@ -338,11 +351,18 @@ def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, crc (of the text's bytes), n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, crc (of the text's bytes), n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs.
+
+    Columns `carry` of docs follow as _c0, _c1, ...  With `as_text` kept is text.
+    """
+    names = [f"_c{i}" for i in range(len(carry))]
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
     texts, ranges = repeat_ranges(docs, width)
     ranges = ranges.groupBy("doc", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    return texts.join(ranges, ["doc", "crc"], "left").select("doc", "crc", "packed", "ranges").mapInArrow(_cut, "doc_id long, crc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = texts.join(ranges, ["doc", "crc"], "left").select("doc", "crc", "packed", "ranges", *names)
+    kept = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
+    return joined.mapInArrow(_cut_texts if as_text else _cut, T.StructType([*_COUNTS, kept, *docs.schema.fields[2:]]))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
