@@ -1 +1 @@
-"""."""
+"""Queries, their SQL, and the benchmark's repetition protocol."""

@@ -1 +1 @@
-"""."""
+"""Tables, deterministic key generators, and sinks for reports."""

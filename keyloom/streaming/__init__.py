@@ -1 +1 @@
-"""."""
+"""Reserved: the engine's operators are batch operators, so there is nothing here yet."""
