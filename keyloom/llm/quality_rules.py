@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACES, let, table, word_list
+from keyloom.llm.common import SPACES, let, materialize, table, word_list
 
 MIN_WORDS = 50
 MOST_REPEATED = 50
@@ -122,7 +122,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, base_failed, the group's limits and kept for every row."""
-    rows = rated(base_counts(docs))
+    rows = materialize(rated(base_counts(docs)), "base-counts")
     limits = thresholds(rows.where(~F.col("base_failed")))
     r, t = rows.alias("r"), limits.alias("t")
     joined = r.join(t, F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source")), "left")
