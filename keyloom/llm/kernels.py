@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 18
 
 U64 = np.uint64
 _GAMMA = 0x9E3779B97F4A7C15
@@ -96,24 +96,48 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
 
     A-Z count as a-z.  With fewer words the whole sequence is one shingle; without words the set is empty.
     """
+    return [x for x, _ in weighed_shingles(data, offsets, width)]
+
+
+def weighed_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, known: np.ndarray | None = None, level: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """shingle_sets() with each shingle's sum of word levels: level[i] for the word hash known[i] (ascending), 0 for others."""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets)
     words = word_hashes(data, starts, ends)
-    n = len(words)
+    n = max(0, len(words) - width + 1)
+    weight = None
+    if known is not None:
+        own = np.zeros(len(words), dtype=np.int32)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            own = np.where(known[at] == words, level[at], 0).astype(np.int32)
+        weight = sum((own[j : j + n] for j in range(width)), np.zeros(n, dtype=np.int32))
     with np.errstate(over="ignore"):
-        total = np.zeros(max(0, n - width + 1), dtype=np.uint64)
+        total = np.zeros(n, dtype=np.uint64)
         for j in range(width):
-            total += words[j : j + len(total)] * _PLACE[j]
+            total += words[j : j + n] * _PLACE[j]
         total = mix64(total + U64(width))
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= width:
-                out.append(np.unique(total[a : b - width + 1]))
+            if b - a >= width and weight is None:
+                out.append((np.unique(total[a : b - width + 1]), None))
+            elif b - a >= width:
+                x, i = np.unique(total[a : b - width + 1], return_index=True)
+                out.append((x, weight[a : b - width + 1][i]))
             elif b > a:
                 short = (words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + U64(b - a)
-                out.append(mix64(np.array([short], dtype=np.uint64)))
+                out.append((mix64(np.array([short], dtype=np.uint64)), np.zeros(1, dtype=np.int32)))
             else:
-                out.append(words[:0])
+                out.append((words[:0], np.zeros(0, dtype=np.int32)))
+    return out
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as a little-endian word; the last 7 positions have none."""
+    out = np.empty(max(0, len(data) - 7), dtype=np.uint64)
+    for j in range(min(8, len(out))):
+        whole = data[j : j + (len(data) - j) // 8 * 8].tobytes()
+        out[j::8] = np.frombuffer(whole, dtype="<u8")[: len(out[j::8])]
     return out
 
 
@@ -122,10 +146,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    eight = np.empty(len(data) - 7, dtype=np.uint64)
-    for j in range(8):
-        whole = data[j : j + (len(data) - j) // 8 * 8].tobytes()
-        eight[j::8] = np.frombuffer(whole, dtype="<u8")[: len(eight[j::8])]
+    eight = eight_bytes(data)
     with np.errstate(over="ignore"):
         out = eight[:n] * _PLACE[0]
         for i, at in enumerate([*range(8, k - 8, 8), k - 8][: max(1, k // 8)], 1):

@@ -86,13 +86,14 @@ def _anchors(n_shards: int, width: int):
         gram >>= U64(64 - _HASH_BITS)
         run >>= U64(24)
         shard = (mix64(gram.copy()) % U64(n_shards)).astype(np.int64)
-        order = np.lexsort((ids[doc], run, gram))
-        same = (gram[order][1:] == gram[order][:-1]) & (run[order][1:] == run[order][:-1])
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
+        both = mix64(gram + mix64(run.copy()))
+        order = np.argsort(both)
+        new = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+        owner = ids[doc[order]]
         decided = np.zeros(len(doc), dtype=bool)
-        decided[order] = ids[doc[order]] > ids[doc[order[lead]]]
+        decided[order] = owner > np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(order))))
         shard[decided] = (doc[decided] + nth) % n_shards  # any shard will do
-        order = np.lexsort((first, doc, shard))
+        order = np.argsort(shard.astype(np.uint16) if n_shards <= 1 << 16 else shard, kind="stable")  # rows are by document and place
         cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
         for s in range(n_shards):
             at = order[cut[s] : cut[s + 1]]
@@ -164,14 +165,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, crc, gram, run, first, count, decided = (np.concatenate(x) for x in zip(*parts, strict=True))
     yield _run_rows(ids[decided], crc[decided], first[decided], count[decided], None, None)
     at = np.flatnonzero(~decided)
-    at = at[np.lexsort((ids[at], run[at], gram[at]))]
+    at = at[np.lexsort((run[at], gram[at]))]
     if not len(at):
         return
     g, r, i = gram[at], run[at], ids[at]
     new_gram = np.concatenate([[True], g[1:] != g[:-1]])
     new_leaf = new_gram | np.concatenate([[True], r[1:] != r[:-1]])
     leaf = np.cumsum(new_leaf) - 1
-    later = i > i[np.flatnonzero(new_leaf)][leaf]
+    later = i > np.minimum.reduceat(i, np.flatnonzero(new_leaf))[leaf]
     yield _run_rows(i[later], crc[at][later], first[at][later], count[at][later], None, None)
     group = np.cumsum(new_gram) - 1
     leaves = np.bincount(group[new_leaf])
@@ -197,100 +198,128 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary()), *batch.columns[2:]], names=["doc", "crc", "packed", *batch.schema.names[2:]])
 
 
+def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes data[start : start + length] of every row, end to end."""
+    first = np.cumsum(length) - length
+    return data[np.repeat(start - first, length) + np.arange(int(length.sum()))]
+
+
 def _fetch(n_shards: int, width: int):
-    """Documents with their runs to the leaves' bytes, compressed by shard and batch."""
+    """Documents with their runs to the leaves' bytes, compressed by shard and block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[int, list[tuple]] = {}
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            for doc, crc, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                text = unpack(packed)
-                for w in wanted:
-                    a, n = w["first"], w["windows"]
-                    s = int(mix64(np.array([w["gram"]], dtype=np.uint64))[0]) % n_shards
-                    held.setdefault(s, []).append((doc, crc, a, n, text[a - 1] if a else NO_LEFT, w["gram"], text[a : a + n + width - 1]))
-                    size += n + width + 60
+            texts = [unpack(x) for x in batch.column(2).to_pylist()]
+            wanted = batch.column(3)
+            row = np.repeat(np.arange(len(texts)), np.diff(wanted.offsets.to_numpy()))
+            wanted = wanted.flatten()
+            first, windows, gram = (wanted.field(i).to_numpy().astype(np.int64) for i in range(3))
+            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            data, at = np.frombuffer(b"".join(texts), np.uint8), begin[row] + first
+            left = np.where(first > 0, data[np.maximum(at - 1, 0)], NO_LEFT).astype(np.uint16)
+            doc, crc = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            held.append((doc, crc, first, windows, left, gram, _gather(data, at, windows + width - 1)))
+            size += len(held[-1][-1])
             if size > BLOCK_BYTES:
-                yield _rows((s, _leaves(x)) for s, x in held.items())
-                held, size = {}, 0
+                yield _rows(_leaves(held, n_shards, width))
+                held, size = [], 0
         if held:
-            yield _rows((s, _leaves(x)) for s, x in held.items())
+            yield _rows(_leaves(held, n_shards, width))
 
     return run
 
 
-def _leaves(rows: list[tuple]) -> bytes:
-    columns = list(zip(*rows, strict=True))
-    table_ = pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.binary()], strict=True)], names=list("dcanlgt"))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table_.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table_)
-    return sink.getvalue().to_pybytes()
+#: What a block of leaves holds of each.
+_LEAF = [("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"), ("windows", "u1"), ("left", "<u2"), ("gram", "<u8")]
+
+
+def _leaves(held: list[tuple], n_shards: int, width: int) -> Iterator[tuple[int, bytes]]:
+    *columns, data = (np.concatenate(x) for x in zip(*held, strict=True))
+    length = columns[3] + width - 1
+    begin = np.cumsum(length) - length
+    shard = (mix64(columns[5].astype(np.uint64)) % U64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for s in range(n_shards):
+        at = order[cut[s] : cut[s + 1]]
+        if len(at):
+            raw = b"".join(c[at].astype(t).tobytes() for c, (_, t) in zip(columns, _LEAF, strict=True))
+            yield s, len(at).to_bytes(4, "little") + pack(raw + _gather(data, begin[at], length[at]).tobytes())
+
+
+def _unpack_leaves(block: bytes) -> tuple[np.ndarray, ...]:
+    n, at, out = int.from_bytes(block[:4], "little"), 0, []
+    raw = zstandard.ZstdDecompressor().decompress(block[4:])
+    for _, t in _LEAF:
+        out.append(np.frombuffer(raw, t, n, at).astype(np.uint64 if t == "<u8" else np.int64))
+        at += n * np.dtype(t).itemsize
+    return *out, np.frombuffer(raw, np.uint8, -1, at)
 
 
 def _scan(width: int):
     """A shard's leaves to the repeats found by its suffix array: rows (doc, crc, begin, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [pa.ipc.open_stream(b).read_all() for batch in batches for b in batch.column(1).to_pylist()]
+        blocks = [_unpack_leaves(b) for batch in batches for b in batch.column(1).to_pylist()]
         if not blocks:
             return
-        t = pa.concat_tables(blocks).combine_chunks()
-        doc, crc, first, windows, left, gram = (t.column(c).to_numpy() for c in "dcanlg")
-        text = t.column("t").chunk(0).cast(pa.large_binary())
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(text.buffers()[2], np.uint8)
-        # the grams of a shard in slices, so that a suffix array stays small
-        order = np.argsort(gram, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
-        total = np.cumsum(windows[order])
+        *columns, data = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        del blocks
+        length = columns[3] + width - 1
+        begin = np.cumsum(length) - length
+        # the grams of a shard in slices, so that a suffix array stays small; a gram's leaves stay together
+        order = np.argsort(columns[5], kind="stable")
+        gram = columns[5][order]
+        ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(order))
+        total = np.cumsum(columns[3][order])
         lo = 0
         while lo < len(order):
-            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 19)))
-            hi = int(edges[np.searchsorted(edges, hi)]) if hi < edges[-1] else len(order)
-            hi = max(hi, lo + 1)
-            yield _repeats(order[lo:hi], doc, crc, first, windows, left, data, offsets, width)
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE))
+            hi = int(ends[min(int(np.searchsorted(ends, hi)), len(ends) - 1)])
+            at = order[lo:hi]
+            yield _repeats(*(c[at] for c in columns[:5]), _gather(data, begin[at], length[at]), width)
             lo = hi
 
     return run
 
 
-def _repeats(rows, doc, crc, first, windows, left, data, offsets, width) -> pa.RecordBatch:
-    n = windows[rows]
-    leaf = np.repeat(np.arange(len(rows)), n)
-    at = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
-    start, end = offsets[:-1][rows], offsets[1:][rows]
-    # a window that no other leaf has can't be in a repeat: leave it out before sorting
-    with np.errstate(over="ignore"):
-        lo, hi = int(start.min()), int(end.max())
-        piece = data[lo:hi] if hi - lo <= 4 * int((end - start).sum()) else None
-        if piece is None:
-            piece = np.concatenate([data[a:b] for a, b in zip(start, end, strict=True)])
-            end = np.cumsum(end - start)
-            start = np.concatenate([[0], end[:-1]])
-        else:
-            start, end = start - lo, end - lo
-        gram = gram_hashes(piece, width)
-    key = gram[start[leaf] + at]
-    order = np.argsort(key, kind="stable")
-    twin = key[order][1:] == key[order][:-1]
-    shared = np.zeros(len(key), dtype=bool)
-    shared[order[1:][twin]] = True
-    shared[order[:-1][twin]] = True
-    leaf, at = leaf[shared], at[shared]
-    sa = SuffixArray(piece, start, end, leaf, at)
-    before = np.where(sa.at > 0, piece[np.maximum(start[sa.leaf] + sa.at - 1, 0)].astype(np.int64), NO_LEFT)
-    owner = doc[rows][sa.leaf]
+#: Windows of the leaves of one suffix array, unless one gram has more.
+SLICE = 1 << 17
+
+
+def _repeats(doc, crc, first, windows, left, data, width) -> pa.RecordBatch:
+    """Repeats among leaves; data has their bytes end to end."""
+    end = np.cumsum(windows + width - 1)
+    start = end - (windows + width - 1)
+    leaf = np.repeat(np.arange(len(doc)), windows)
+    at = np.arange(len(leaf)) - np.repeat(np.cumsum(windows) - windows, windows)
+    before = np.where(at > 0, data[np.maximum(start[leaf] + at - 1, 0)].astype(np.int64), NO_LEFT)
+    # Windows of equal bytes share a prefix of `width`.  Leave out those that no other leaf has, those of one document
+    # only and those that can't be extended to the left in more than one way: no part of them can be a maximal repeat.
+    key = gram_hashes(data, width)[start[leaf] + at]
+    order = np.argsort(key)
+    new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+
+    def differs(x: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
+
+    side, owner = before[order], doc[leaf[order]]
+    keep = differs(owner) & (differs(side) | (side[new] == NO_LEFT))
+    chosen = order[np.repeat(keep, np.diff(np.append(new, len(order))))]
+    sa = SuffixArray(data, start, end, leaf[chosen], at[chosen])
+    before = np.where(sa.at > 0, data[np.maximum(start[sa.leaf] + sa.at - 1, 0)].astype(np.int64), NO_LEFT)
+    owner = doc[sa.leaf]
     longest = np.zeros(len(owner), dtype=np.int64)
     for a, b, length in repeat_groups(sa, before, width):
         mine = owner[a : b + 1]
         hit = (mine > mine.min()) & (longest[a : b + 1] == 0)
         longest[a : b + 1][hit] = length
     hit = longest > 0
-    begin = first[rows][sa.leaf[hit]] + sa.at[hit]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[hit], crc[rows][sa.leaf[hit]], begin, begin + longest[hit])], names=["doc", "crc", "begin", "end"])
+    begin = first[sa.leaf[hit]] + sa.at[hit]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[hit], crc[sa.leaf[hit]], begin, begin + longest[hit])], names=["doc", "crc", "begin", "end"])
 
 
 def repeat_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

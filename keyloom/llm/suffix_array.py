@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from keyloom.llm.kernels import eight_bytes
+
 #: Longest prefix that is compared, in bytes.
 DEPTH = 128
 #: What stands for "no byte before" in the left extension.
@@ -23,18 +25,15 @@ class SuffixArray:
     """leaf, at: the suffixes in order; lcp[i]: what suffix i shares with suffix i-1 (lcp[0] is 0)."""
 
     def __init__(self, data: np.ndarray, leaf_start: np.ndarray, leaf_end: np.ndarray, leaf: np.ndarray, at: np.ndarray):
-        padded = np.concatenate([data, np.zeros(DEPTH + 8, dtype=np.uint8)])
+        eight = eight_bytes(np.concatenate([data, np.zeros(DEPTH + 8, dtype=np.uint8)])).byteswap()
         start = leaf_start[leaf] + at
         length = np.minimum(leaf_end[leaf] - start, DEPTH)
         n_words = -(-int(length.max()) // 8) if len(length) else 0
         words = []
         for w in range(n_words):
-            word = np.zeros(len(start), dtype=np.uint64)
-            for j in range(8):
-                byte = padded[start + (8 * w + j)].astype(np.uint64)
-                byte[8 * w + j >= length] = 0
-                word = (word << np.uint64(8)) | byte
-            words.append(word)
+            beyond = np.clip(8 * (w + 1) - length, 0, 8).astype(np.uint64)  # bytes of the word past the leaf's end
+            word = eight[start + 8 * w] >> np.minimum(8 * beyond, np.uint64(63))
+            words.append(np.where(beyond == 8, np.uint64(0), word << np.minimum(8 * beyond, np.uint64(63))))
         order = np.lexsort([length, *words[::-1]]) if n_words else np.arange(len(start))
         self.leaf, self.at, length = leaf[order], at[order], length[order]
         lcp = np.zeros(len(order), dtype=np.int64)
