@@ -35,7 +35,7 @@ from keyloom.llm.kernels import _BASE, _BYTE, U64, mix64, slabs
 #: Look-alike signs and the letters that they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "(": "c", "*": "aeiou"}
 #: Costs of the channel, as -log probabilities.
-COST_SIGN, COST_STAY, COST_RUN, COST_GAP = 1.5, 6.0, 1.0, 0.5
+COST_SIGN, COST_STAY, COST_RUN, COST_GAP, COST_BREAK = 1.5, 6.0, 1.0, 0.5, 1.0
 #: The language model's alphabet: a-z, other letters of the Latin blocks by code, and the word's edge (0).
 SYMBOLS = 64
 MOST_LABELLED = 20_000
@@ -72,7 +72,7 @@ def symbols_of(data: np.ndarray) -> np.ndarray:
     lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
     lead = lead[lead + 1 < len(data)]
     code = (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
-    code = np.where((code >= 0xC0) & (code < 0xE0) & (code != 0xD7), code + 0x20, code)  # capitals of Latin-1
+    code = np.where((code >= 0xC0) & (code < 0xDF) & (code != 0xD7), code + 0x20, code)  # capitals of Latin-1
     letter = (code >= 0xAA) & (code != 0xD7) & (code != 0xF7) & ((code >= 0xC0) | (code == 0xAA) | (code == 0xB5) | (code == 0xBA))
     out[lead] = np.where(letter, 27 + code % 37, 0)
     out[(data & 0xC0) == 0x80] = -1
@@ -146,7 +146,7 @@ class Restorer:
             elif run >= 3 and symbol(c):
                 stages.append([(c, COST_RUN), (c * 2, COST_RUN)])
             elif single and c in " ._-":
-                stages.append([("", COST_GAP), (" ", COST_STAY)])
+                stages.append([("", COST_GAP), (" ", COST_BREAK)])
             else:
                 stages.extend([[(c, 0.0)]] * run)
             at += run
