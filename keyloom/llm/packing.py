@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import materialize, partitions, ship, table
-from keyloom.llm.tokens import default_path, encoder
+from keyloom.llm.tokens import default_path, encoder, in_lots
 
 CAPACITY = 2048
 END_ID = 0
@@ -187,12 +187,14 @@ def _cut(path: str, capacity: int):
         encode = encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                a, b, piece = 0, len(ids) % capacity or min(len(ids), capacity), 0
-                while a < len(ids):
-                    out.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                    a, b, piece = b, b + capacity, piece + 1
+            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for lo, hi in in_lots(texts):
+                for key, found in zip(keys[lo:hi], encode.many(texts[lo:hi]), strict=True):
+                    ids = np.append(found, np.uint32(END_ID)).astype("<u4")
+                    a, b, piece = 0, len(ids) % capacity or min(len(ids), capacity), 0
+                    while a < len(ids):
+                        out.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                        a, b, piece = b, b + capacity, piece + 1
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

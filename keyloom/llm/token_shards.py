@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import materialize, partitions, ship, table
 from keyloom.llm.kernels import U64, mix64
-from keyloom.llm.tokens import default_path, encoder
+from keyloom.llm.tokens import default_path, encoder, in_lots
 
 SHARD_IDS = 1 << 20
 END_ID = 0
@@ -133,17 +133,19 @@ def _pack(keys: np.ndarray, sizes: np.ndarray) -> bytes:
 def _write(path: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        width = 2 if encode.library.get_vocab_size() <= 1 << 16 else 4
+        width = 2 if encode.vocab_size <= 1 << 16 else 4
         part, shard, keys, ids, total = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
-                if total + len(one) > shard_ids and keys:
-                    yield _image(part, shard, keys, ids, width)
-                    shard, keys, ids, total = shard + 1, [], [], 0
-                keys.append(NULL_KEY if key is None else key)
-                ids.append(one)
-                total += len(one)
+            order, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for lo, hi in in_lots(texts):
+                for key, found in zip(order[lo:hi], encode.many(texts[lo:hi]), strict=True):
+                    one = np.append(found, np.uint32(END_ID))
+                    if total + len(one) > shard_ids and keys:
+                        yield _image(part, shard, keys, ids, width)
+                        shard, keys, ids, total = shard + 1, [], [], 0
+                    keys.append(NULL_KEY if key is None else key)
+                    ids.append(one)
+                    total += len(one)
         if keys:
             yield _image(part, shard, keys, ids, width)
 
