@@ -7,8 +7,8 @@ score a pool of unlabelled documents, and each hands its most confident ones, of
 of the labels, to the other as pseudo-labels.  Each view is then calibrated on labelled rows that no fit has
 seen, and a logistic function of the two calibrated scores is the score of every document.
 
-Fits are made on the driver from at most MOST_LABELLED labelled rows and POOL unlabelled ones, those of least
-crc32 of the id and a seed; rows whose crc32(doc_id as text) mod 4 is 2 are not learned from.  All documents are scored.
+Fits are made on the driver from the views of at most MOST_LABELLED labelled rows and POOL unlabelled ones, those
+of least crc32 of the id and a seed; rows whose crc32(doc_id as text) mod 4 is 2 are not learned from.  All documents are scored.
 
 Cases: null texts are empty; null lang and source are values like others; without labels of both kinds all documents
 score 1 and are kept; equal ids are scored each by its row; an empty table gives an empty result.
@@ -198,33 +198,40 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.nd
     return CoTrained(*weights, *scales, both)
 
 
+def _views_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, quality, text, lang, source) to (doc_id, quality, content, metadata), views as 32-bit floats."""
+    for batch in batches:
+        for lo, hi, c, m in views(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "quality", "content", "metadata"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pool: int = POOL) -> CoTrained | None:
-    """The classifier, or None without labels of both kinds."""
+    """The classifier, or None without labels of both kinds.  The driver gets the views of at most `most` and `pool` documents."""
+    ship(docs.sparkSession)
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     order = F.crc32(F.concat_ws(":", F.lit("quality"), F.col("doc_id").cast("string")).cast("binary"))
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc != HELD_OUT)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = known.orderBy(order, "doc_id").limit(most)
-    docs = docs.select("doc_id", "text", "lang", "source")
-    rows = docs.join(F.broadcast(known), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * most).toPandas()
-    if not len(rows) or rows["quality"].nunique() < 2:
+    ids = docs.where(F.col("doc_id").isNotNull() & (crc != HELD_OUT)).select("doc_id").distinct()
+    unlabelled = ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
+    chosen = known.unionByName(unlabelled.withColumn("quality", F.lit(None).cast("int")))
+    rows = docs.select("doc_id", F.struct("text", "lang", "source").alias("x")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
+    rows = rows.select("doc_id", "quality", "x.text", "x.lang", "x.source").mapInArrow(_views_of, "doc_id long, quality int, content binary, metadata binary").toPandas()
+    rows = rows.sort_values("doc_id")
+    labelled, more = rows[rows["quality"].notna()], rows[rows["quality"].isna()]
+    if not len(labelled) or labelled["quality"].nunique() < 2:
         return None
-    unlabelled = docs.where(F.col("doc_id").isNotNull() & (crc != HELD_OUT)).select("doc_id").orderBy(order, "doc_id").limit(pool + most).join(F.broadcast(known), "doc_id", "left_anti").limit(pool)
-    more = docs.join(F.broadcast(unlabelled.distinct()), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * pool).toPandas()
 
     def both(pdf) -> tuple[np.ndarray, np.ndarray]:
-        none = lambda c: [x if isinstance(x, str) else None for x in pdf[c]]
-        parts = [(c, m) for _, _, c, m in views(pa.array(none("text"), pa.string()), none("lang"), none("source"))]
-        if not parts:
-            return np.zeros((0, HASHED + KINDS * KINDS), np.float32), np.zeros((0, META + META_HASHED), np.float32)
-        return np.concatenate([c for c, _ in parts]), np.concatenate([m for _, m in parts])
-
-    fold = np.array([zlib.crc32(f"fold:{k}".encode()) % 4 for k in rows["doc_id"].tolist()])
-    y = (rows["quality"].to_numpy() > 0).astype(np.float32)
+        return tuple(np.frombuffer(b"".join(pdf[c]), np.float32).reshape(len(pdf), width) for c, width in (("content", HASHED + KINDS * KINDS), ("metadata", META + META_HASHED)))
+
+    fold = np.array([zlib.crc32(f"fold:{k}".encode()) % 4 for k in labelled["doc_id"].tolist()])
+    y = (labelled["quality"].to_numpy() > 0).astype(np.float32)
     if len(set(y[fold != 0].tolist())) < 2 or len(set(y[fold == 0].tolist())) < 2:
         fold = np.arange(len(y)) % 4
     if len(set(y[fold != 0].tolist())) < 2 or len(set(y[fold == 0].tolist())) < 2:
         return None
-    return co_train(both(rows), y, fold, both(more))
+    return co_train(both(labelled), y, fold, both(more))
 
 
 _SCORES = ("score", "content_score", "metadata_score")
