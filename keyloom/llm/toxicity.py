@@ -203,7 +203,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         found = [mix64(np.add.reduceat(value, first) + U64(1))]
         owner = [doc]
         for k in BEGINNINGS:
-            long = chars > k
+            long = chars >= k
             found.append(mix64(np.add.reduceat(np.where(nth <= k, value, U64(0)), first)[long] + U64(k)))
             owner.append(doc[long])
     d, f = np.concatenate(owner), np.concatenate(found)
@@ -243,13 +243,11 @@ class Evidence:
         return 1 / (1 + np.exp(-np.clip(strongest @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
-def log_odds(feature: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) of features in LEAST_DOCS documents or more."""
-    f, at, count = np.unique(feature, return_inverse=True, return_counts=True)
-    bad = np.bincount(at, weights=toxic, minlength=len(f))
-    keep = count >= LEAST_DOCS
-    f, count, bad = f[keep], count[keep], bad[keep]
-    return f, np.log((bad + 0.1) / (n_toxic + 0.2)) - np.log((count - bad + 0.1) / (n - n_toxic + 0.2))
+def log_odds(feature: np.ndarray, count: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of features in LEAST_DOCS documents or more that speak for toxicity; count and toxic are numbers of documents."""
+    weight = np.log((toxic + 0.1) / (n_toxic + 0.2)) - np.log((count - toxic + 0.1) / (n - n_toxic + 0.2))
+    keep = (count >= LEAST_DOCS) & (weight > 0)
+    return feature[keep], weight[keep]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -267,35 +265,72 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60
     return w
 
 
+FOLDS = 4
+
+
+def _feature_counts(model: np.ndarray):
+    """Labelled texts (text, toxic, fold) to (feature, fold, n, toxic): numbers of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(model)
+        for batch in batches:
+            toxic, fold = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
+            for lo, hi, data, offsets in slabs(restored(batch.column(0), restore)):
+                d, f = features(data, offsets)
+                for k in range(FOLDS):
+                    at = fold[lo:hi][d] == k
+                    found, which, n = np.unique(f[at], return_inverse=True, return_counts=True)
+                    bad = np.bincount(which, weights=toxic[lo:hi][d[at]], minlength=len(found)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), k, dtype=np.int32)), pa.array(n.astype(np.int64)), pa.array(bad)], names=["feature", "fold", "n", "toxic"])
+
+    return run
+
+
+def _strongest_of(model: np.ndarray, parts: list[Evidence]):
+    """Labelled texts (text, toxic, fold) to (toxic, strongest weights) by the evidence of the other folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(model)
+        for batch in batches:
+            fold, x = batch.column(2).to_numpy(), np.zeros((batch.num_rows, TOP))
+            for lo, hi, data, offsets in slabs(restored(batch.column(0), restore)):
+                d, f = features(data, offsets)
+                for k, part in enumerate(parts):
+                    at = fold[lo:hi] == k
+                    x[lo:hi][at] = part.strongest(d, f, hi - lo)[at]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i].copy()) for i in range(TOP)]], names=["toxic", *[f"x{i}" for i in range(TOP)]])
+
+    return run
+
+
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = MOST_LABELLED) -> Evidence:
-    """Evidence from at most `most` labelled rows that are not held out."""
-    spark = docs.sparkSession
+    """Evidence from at most `most` labelled rows that are not held out.  The driver gets counts of features, not texts."""
+    ship(docs.sparkSession)
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc, F.lit(4)) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.crc32(F.concat_ws(":", F.lit("toxicity"), F.col("doc_id").cast("string")).cast("binary"))
     known = known.orderBy(order, "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("fold"))
-    sample = sample.orderBy(F.xxhash64("text"), "toxic", "fold").limit(2 * most)  # ids may repeat
-    rows = materialize(sample, "labelled").toPandas()
-    toxic, fold = rows["toxic"].to_numpy(), rows["fold"].to_numpy()
-    ship(spark)
-    if not len(rows) or toxic.min() == toxic.max():
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    sizes = {r["fold"]: (r["n"], r["bad"]) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()}
+    n, bad = sum(x for x, _ in sizes.values()), sum(x for _, x in sizes.values())
+    if not 0 < bad < n:
         return Evidence(np.zeros(0, dtype=np.uint64), np.zeros(0), np.array([0.0] * TOP + [-30.0]))
-    restore, d, f = Restorer(model), [], []
-    for lo, _, data, offsets in slabs(restored(pa.array(rows["text"], pa.string()), restore)):
-        a, b = features(data, offsets)
-        d.append(a + lo)
-        f.append(b)
-    d, f = np.concatenate(d), np.concatenate(f)
+    counts = sample.mapInArrow(_feature_counts(model), "feature long, fold int, n long, toxic long")
+    sums = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("n", "toxic")]
+    rows = counts.groupBy("feature").agg(*sums, F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where((F.col("n") >= LEAST_DOCS) & (F.col("toxic") > 0)).orderBy("feature").toPandas()
+    rows = {c: rows[c].to_numpy(dtype=np.int64) for c in rows.columns}
+    feature = rows["feature"].astype(np.uint64)
     # texts' strongest features by weights that they had no part in
-    x = np.zeros((len(rows), TOP))
-    for k in np.unique(fold):
-        out = fold == k
-        inside = ~out[d]
-        part = Evidence(*log_odds(f[inside], toxic[d[inside]], int((~out).sum()), int(toxic[~out].sum())), np.zeros(TOP + 1))
-        x[out] = part.strongest(d[~inside], f[~inside], len(rows))[out]
-    return Evidence(*log_odds(f, toxic[d], len(rows), int(toxic.sum())), fit_logistic(x, toxic))
+    parts = []
+    for k in range(FOLDS):
+        own_n, own_bad = sizes.get(k, (0, 0))
+        parts.append(Evidence(*log_odds(feature, rows["n"] - rows[f"n{k}"], rows["toxic"] - rows[f"toxic{k}"], n - own_n, bad - own_bad), np.zeros(TOP + 1)))
+    held = sample.mapInArrow(_strongest_of(model, parts), ", ".join(["toxic int", *[f"x{i} double" for i in range(TOP)]])).toPandas()
+    held = held.sort_values(list(held.columns))  # sums in the fit do not depend on the order of tasks
+    scale = fit_logistic(held[[f"x{i}" for i in range(TOP)]].to_numpy(), held["toxic"].to_numpy())
+    return Evidence(*log_odds(feature, rows["n"], rows["toxic"], n, bad), scale)
 
 
 def _scores(model: np.ndarray, evidence: Evidence):
