@@ -1,37 +1,24 @@
-"""Session helpers of the text operators: shipping the package, shared scratch tables, input checks."""
+"""Session helpers of the text operators: shared scratch tables, words, tables by name."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.shipping import ship
+
+__all__ = ["SPACES", "SPACE_RUN", "delete", "drop_table", "let", "materialize", "partitions", "scratch", "ship", "table", "word_count", "word_list"]
+
 #: The separators of a word, for SQL functions: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, for clusters where it is not installed.  Once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, f"{top.name}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(path)
+#: Scratch folders by application, where the session names none.
+_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -41,10 +28,12 @@ def scratch(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="scratch-") if sc.master.startswith("local") and not sc.master.startswith("local-cluster") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if sc.applicationId not in _own:
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="scratch-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _own[sc.applicationId]
 
 
 def delete(spark: SparkSession, path: str) -> None:

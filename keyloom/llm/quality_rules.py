@@ -134,3 +134,66 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """SQL for DuckDB that states the result of op4_quality_rules."""
+    rates = {
+        "symbol_rate": "CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END",
+        "line_rate": "CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END",
+        "repeat_rate": "CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END",
+        "length_rate": "CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END",
+    }
+    values = ", ".join(f"('{k}', {k}, {v})" for k, v in FLOORS.items())
+    drop = f"greatest(0, length(bin(x)) - {SUB_BITS + 1})"
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols
+  FROM texts
+), windows AS (
+  SELECT id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS t FROM words, unnest(generate_series(1, len(w) - 2)) AS s(i)
+), twice AS (
+  SELECT id, i, lead(i) OVER (PARTITION BY id ORDER BY i) AS following FROM (SELECT id, i, count(*) OVER (PARTITION BY id, t) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT id, sum(least(3, coalesce(following - i, 3))) AS n FROM twice GROUP BY id
+), base AS (
+  SELECT id, doc_id, lang, source, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM words LEFT JOIN covered USING (id)
+), rated AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {", ".join(f"{e} AS {k}" for k, e in rates.items())} FROM base
+), sketch AS (
+  SELECT lang, source, rate, floor, (x >> {drop}) << {drop} AS bucket, count(*) AS n
+  FROM (SELECT lang, source, rate, x, floor FROM rated, LATERAL (VALUES {values}) AS v(rate, x, floor) WHERE NOT base_failed) GROUP BY ALL
+), of_lang AS (
+  SELECT lang, rate, bucket, sum(n) AS n FROM sketch GROUP BY ALL
+), own_size AS (
+  SELECT lang, source, rate, floor, sum(n) AS own_n FROM sketch GROUP BY ALL
+), lang_size AS (
+  SELECT lang, rate, sum(n) AS lang_n FROM sketch GROUP BY ALL
+), groups AS (
+  SELECT o.*, lang_n, own_n / (own_n + {PRIOR}.0) AS keep, lang_n / (lang_n + {PRIOR}.0) AS lang_keep FROM own_size o JOIN lang_size l ON o.rate = l.rate AND o.lang IS NOT DISTINCT FROM l.lang
+), whole AS (
+  SELECT rate, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY rate) AS share FROM sketch GROUP BY rate, bucket
+), merged AS (
+  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.n / own_n * keep AS share FROM groups g JOIN sketch s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.n / lang_n * (1 - keep) * lang_keep FROM groups g JOIN of_lang s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.share * (1 - keep) * (1 - lang_keep) FROM groups g JOIN whole s ON g.rate = s.rate
+), running AS (
+  SELECT lang, source, rate, floor, bucket, sum(sum(share)) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto FROM merged GROUP BY lang, source, rate, floor, bucket
+), limits AS (
+  SELECT lang, source, rate, q3 + {FENCE} * greatest(q3 - q2, floor) AS most
+  FROM (SELECT lang, source, rate, floor, min(bucket) FILTER (upto >= 0.5 - 1e-9) AS q2, min(bucket) FILTER (upto >= 0.75 - 1e-9) AS q3 FROM running GROUP BY ALL)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (
+    SELECT 1 FROM limits l WHERE l.lang IS NOT DISTINCT FROM r.lang AND l.source IS NOT DISTINCT FROM r.source
+      AND most < CASE l.rate {" ".join(f"WHEN '{k}' THEN r.{k}" for k in FLOORS)} END) AS kept
+FROM rated r
+"""
