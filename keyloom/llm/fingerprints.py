@@ -132,16 +132,19 @@ def _bit(h: str) -> int:
 
 
 def _forms(digest: Digest, words: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                text = text if isinstance(text, str) else ""
+    bits = words.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, forms = [], []
+            for text in batch.column(0):
+                text = text.as_py() or ""
                 h = digest(text)
                 at = _bit(h)
-                if words[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
-                    rows.append((h, canonical(text).encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(rows, columns=["hash", "form"])
+                if bits[at >> 6] >> (at & 63) & 1:
+                    hashes.append(h)
+                    forms.append(canonical(text).encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(forms, pa.binary())], names=["hash", "form"])
 
     return run
 
@@ -157,7 +160,7 @@ def mixed_buckets(docs: DataFrame, hashes: DataFrame, digest: Digest) -> DataFra
     words = np.zeros(FILTER_WORDS, dtype=np.uint64)
     for r in shared.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         words[r["w"]] = r["b"] & (1 << 64) - 1
-    forms = docs.select("text").mapInPandas(_forms(digest, words), "hash string, form binary").join(shared, "hash")
+    forms = docs.select("text").mapInArrow(_forms(digest, words), "hash string, form binary").join(shared, "hash")
     smallest = forms.groupBy("hash").agg(F.min("form").alias("least"))
     return forms.join(smallest, "hash").where(F.col("form") != F.col("least")).select("hash").distinct()
 
