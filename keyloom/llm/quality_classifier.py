@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from keyloom.llm.common import ship, table
 from keyloom.llm.kernels import U64, mix64, slabs, word_bounds, word_hashes
 
-MOST_LABELLED = 8_000
-POOL = 4_000
+MOST_LABELLED = 6_000
+POOL = 3_000
 ROUNDS = 3
 #: Documents that a view hands over in a round, and the least confidence.
 HAND_OVER = 400
@@ -127,13 +127,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 250) -> np.ndarray:
     """Logistic weights and intercept by accelerated gradient steps, both classes weighing the same."""
-    x = np.column_stack([x, np.ones(len(x), dtype=np.float32)])
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], dtype=np.float32)
-    rate = 4.0 / max(1e-9, float(weight @ np.einsum("ij,ij->i", x, x)) + 4 * l2)
+    w = v = np.zeros(x.shape[1] + 1, dtype=np.float32)
+    rate = 4.0 / max(1e-9, float(weight @ (np.einsum("ij,ij->i", x, x) + 1)) + 4 * l2)
     t = 1.0
     for _ in range(steps):
-        g = x.T @ (weight * (sigmoid(x @ v) - y)) + l2 * v
+        error = weight * (sigmoid(margin(x, v)) - y)
+        g = np.append(error @ x, error.sum()) + l2 * v
         after = (v - rate * g).astype(np.float32)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = after + np.float32((t - 1) / t2) * (after - w)
@@ -199,10 +199,10 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.nd
 
 
 def _views_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, quality, text, lang, source) to (doc_id, quality, content, metadata), views as 32-bit floats."""
+    """(doc_id, quality, text, lang, source) to (doc_id, quality, content, metadata), views as 16-bit floats."""
     for batch in batches:
         for lo, hi, c, m in views(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "quality", "content", "metadata"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in c.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in m.astype(np.float16)], pa.binary())], names=["doc_id", "quality", "content", "metadata"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pool: int = POOL) -> CoTrained | None:
@@ -216,22 +216,29 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pool: i
     unlabelled = ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
     chosen = known.unionByName(unlabelled.withColumn("quality", F.lit(None).cast("int")))
     rows = docs.select("doc_id", F.struct("text", "lang", "source").alias("x")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
-    rows = rows.select("doc_id", "quality", "x.text", "x.lang", "x.source").mapInArrow(_views_of, "doc_id long, quality int, content binary, metadata binary").toPandas()
-    rows = rows.sort_values("doc_id")
-    labelled, more = rows[rows["quality"].notna()], rows[rows["quality"].isna()]
-    if not len(labelled) or labelled["quality"].nunique() < 2:
+    rows = rows.select("doc_id", "quality", "x.text", "x.lang", "x.source").mapInArrow(_views_of, "doc_id long, quality int, content binary, metadata binary").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return None
+    doc_id, quality = rows.column(0).to_numpy(), rows.column(1).to_pandas().to_numpy(dtype=np.float64)
+    order_ = np.argsort(doc_id)
+    known_, unknown = order_[~np.isnan(quality[order_])], order_[np.isnan(quality[order_])]
+    y = (quality[known_] > 0).astype(np.float32)
+    if not len(y) or y.min() == y.max():
         return None
 
-    def both(pdf) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.frombuffer(b"".join(pdf[c]), np.float32).reshape(len(pdf), width) for c, width in (("content", HASHED + KINDS * KINDS), ("metadata", META + META_HASHED)))
+    def matrix(column: int, which: np.ndarray) -> np.ndarray:
+        width = HASHED + KINDS * KINDS if column == 2 else META + META_HASHED
+        return np.frombuffer(rows.column(column).chunk(0).buffers()[2], np.float16, rows.num_rows * width).reshape(-1, width)[which].astype(np.float32)
 
-    fold = np.array([zlib.crc32(f"fold:{k}".encode()) % 4 for k in labelled["doc_id"].tolist()])
-    y = (labelled["quality"].to_numpy() > 0).astype(np.float32)
+    own, more = (matrix(2, known_), matrix(3, known_)), (matrix(2, unknown), matrix(3, unknown))
+    known_ids = doc_id[known_].tolist()
+    del rows
+    fold = np.array([zlib.crc32(f"fold:{k}".encode()) % 4 for k in known_ids])
     if len(set(y[fold != 0].tolist())) < 2 or len(set(y[fold == 0].tolist())) < 2:
         fold = np.arange(len(y)) % 4
     if len(set(y[fold != 0].tolist())) < 2 or len(set(y[fold == 0].tolist())) < 2:
         return None
-    return co_train(both(labelled), y, fold, both(more))
+    return co_train(own, y, fold, more)
 
 
 _SCORES = ("score", "content_score", "metadata_score")
