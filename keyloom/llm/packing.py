@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Fillings kept at a node and nodes looked at before the incumbent stands.
 FILLINGS = 12
-NODES = 20_000
+NODES = 8_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -60,6 +60,11 @@ def _take(left: dict[int, int], use: dict[int, int], times: int) -> None:
             del left[n]
 
 
+def _give(left: dict[int, int], use: dict[int, int], times: int) -> None:
+    for n, k in use.items():
+        left[n] = left.get(n, 0) + k * times
+
+
 def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated fillings of `room` by the pieces left (lengths descending), the least waste first, then the fewest pieces."""
     if room in left:
@@ -127,30 +132,32 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
     bins = sum(k for _, k in best)
     spent = 0
 
-    def search(left: dict[int, int], used: int, waste: int, done: list[tuple[tuple[int, ...], int]]) -> None:
+    left = dict(counts)  # one table for the whole search: what a branch takes it gives back
+
+    def search(used: int, waste: int, done: list[tuple[tuple[int, ...], int]]) -> None:
         nonlocal best, bins, spent
         if not left:
             if used < bins:
                 best, bins = list(done), used
             return
         spent += 1
-        lengths = sorted(left, reverse=True)
-        top = lengths[0]
-        left = dict(left)
+        top = max(left)
         _take(left, {top: 1}, 1)
-        beside = sorted(left, reverse=True)
-        for filling in fillings(beside, left, capacity - top):
+        options = fillings(sorted(left, reverse=True), left, capacity - top)
+        _give(left, {top: 1}, 1)
+        for filling in options:
             use: dict[int, int] = {top: 1}
             for n in filling:
                 use[n] = use.get(n, 0) + 1
-            after = dict(left)
-            after[top] = after.get(top, 0) + 1
-            times = min(after[n] // k for n, k in use.items())
+            times = min(left[n] // k for n, k in use.items())
             lost = waste + (capacity - top - sum(filling)) * times
             if (bins - 1) * capacity - total < lost:  # no fewer bins than the incumbent can come of this
                 continue
-            _take(after, use, times)
-            search(after, used + times, lost, [*done, ((top, *filling), times)])
+            _take(left, use, times)
+            done.append(((top, *filling), times))
+            search(used + times, lost, done)
+            done.pop()
+            _give(left, use, times)
             if bins <= fewest or spent > nodes:
                 return
 
@@ -158,7 +165,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         limit = sys.getrecursionlimit()
         sys.setrecursionlimit(max(limit, 10_000 + 8 * capacity))
         try:
-            search(counts, 0, 0, [])
+            search(0, 0, [])
         finally:
             sys.setrecursionlimit(limit)
     return best
@@ -237,7 +244,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     begun = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begun"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(begun, ["length", "salt"]).withColumn("rank", F.col("begun") + F.col("nth")).select(*pieces.columns, "rank")
+    ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(begun.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("begun") + F.col("nth")).select(*pieces.columns, "rank")
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInPandas(_place(where), schema)
 

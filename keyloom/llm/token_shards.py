@@ -207,7 +207,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     begun = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("shard_start")).join(parts, "part")
     rows = shards.select("part", "shard", "n_docs", "width", "ids", "keys", "index").mapInArrow(_digests, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(begun, ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(begun.hint("merge"), ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
