@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import materialize, ship, table
-from keyloom.llm.kernels import _BASE, _BYTE, U64, mix64, slabs
+from keyloom.llm.kernels import _BASE, _BYTE, LOWER, U64, mix64, slabs, word_bounds
 
 #: Look-alike signs and the letters that they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "(": "c", "*": "aeiou"}
@@ -51,9 +51,6 @@ _SUSPECT = regex.compile(
     r"(?<![^\s])(?:\p{L}[ ._-]){3,}\p{L}(?![^\s.,!?])"  # single letters in a row
     r"|(?=[^\s]*\p{L})(?=[^\s]*(?:\p{L}[0-9@$!|+(*]+\p{L}|(?<![^\s])[0-9@$|+(*]+\p{L}|(\p{L})\1\1))[^\s]{3,}"
 )
-_MAY = regex.compile(r"\p{L}[0-9@$!|+(*]+\p{L}|(?:^|\s)[0-9@$|+(*]+\p{L}|(\p{L})\1\1|(?:^|\s)\p{L}[ ._-]\p{L}[ ._-]\p{L}[ ._-]")
-
-
 def symbol(c: str) -> int:
     """1 to 26 for a-z, 27 to 63 for other letters, 0 for all else."""
     if "a" <= c <= "z":
@@ -113,12 +110,22 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.memo: dict[str, str] = {}
+        self.stretches: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> str:
-        if not _MAY.search(text):
-            return text
         return _SUSPECT.sub(lambda m: self.span(m[0]), text)
 
+    def stretch(self, words: bytes) -> bytes:
+        """Some words of a text, as UTF-8."""
+        out = self.stretches.get(words)
+        if out is None:
+            if len(self.stretches) > 100_000:
+                self.stretches.clear()
+            out = self(words.decode()).encode()
+            if len(words) < 64:
+                self.stretches[words] = out
+        return out
+
     def span(self, span: str) -> str:
         if span not in self.memo:
             if len(self.memo) > 100_000:
@@ -172,13 +179,11 @@ _LETTER[97:123] = True
 _LETTER[65:91] = True
 _LETTER[0xC3:] = True
 _LETTER[0x80:0xC0] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature): distinct hashes of the words of letters and of their beginnings, for each document of a slab."""
-    data = _FOLD[data]
+    data = LOWER[data]
     inside = np.concatenate([[False], _LETTER[data], [False]])
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -213,8 +218,59 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return d[new], f[new]
 
 
-def restored(texts: pa.Array, restore: Restorer) -> pa.Array:
-    return pa.array([restore(x) if x else "" for x in texts.to_pylist()], pa.large_string())
+_SIGN, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SIGN[list(b"0123456789@$!|+(*")] = True
+_GAP[list(b" ._-")] = True
+
+
+def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the stretches of words of a slab that may hold a suspect span; misses none.
+
+    Looks for a sign before a letter, three equal letters in a row, or letters and gaps by turns, by characters, and
+    takes the words that these lie in, neighbours together.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    x = symbols_of(data)
+    head = np.flatnonzero(x >= 0)  # where characters begin
+    if len(head) < 3:
+        return none, none
+    first, beyond = data[head], data[head] >= 0x80
+    letter = (x[head] > 0) | beyond  # other scripts may hold letters
+    marked = np.zeros(len(head), dtype=bool)
+    marked[:-1] = _SIGN[first[:-1]] & letter[1:]
+    code = np.where(beyond, (first.astype(np.int64) << 8) | data[np.minimum(head + 1, len(data) - 1)], LOWER[first])
+    marked[:-2] |= letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
+    if len(head) > 4:
+        gap = _GAP[first]
+        turns = letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]
+        for k in range(5):
+            marked[k : len(head) - 4 + k] |= turns
+    starts, ends, by = word_bounds(data, offsets)
+    word = np.unique(np.searchsorted(starts, head[marked], "right") - 1)
+    word = word[word >= 0]
+    if not len(word):
+        return none, none
+    doc = np.searchsorted(by, word, "right")
+    apart = (np.diff(word) > 1) | (np.diff(doc) > 0) | (starts[word[1:]] - ends[word[:-1]] != 1)
+    return starts[word[np.concatenate([[True], apart])]], ends[word[np.concatenate([apart, [True]])]]
+
+
+def restored(texts: pa.Array, restore: Restorer) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """slabs() of the restored texts."""
+    for lo, hi, data, offsets in slabs(texts):
+        raw, parts, at, grown, where = data.tobytes(), [], 0, [], []
+        for a, b in zip(*(x.tolist() for x in suspects(data, offsets)), strict=True):
+            old = raw[a:b]
+            new = restore.stretch(old)
+            if new != old:
+                parts += [raw[at:a], new]
+                at = b
+                where.append(b)
+                grown.append(len(new) - len(old))
+        if parts:
+            data = np.frombuffer(b"".join([*parts, raw[at:]]), np.uint8)
+            offsets = offsets + np.concatenate([[0], np.cumsum(grown)])[np.searchsorted(where, offsets, "right")]
+        yield lo, hi, data, offsets
 
 
 class Evidence:
@@ -275,7 +331,7 @@ def _feature_counts(model: np.ndarray):
         restore = Restorer(model)
         for batch in batches:
             toxic, fold = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
-            for lo, hi, data, offsets in slabs(restored(batch.column(0), restore)):
+            for lo, hi, data, offsets in restored(batch.column(0), restore):
                 d, f = features(data, offsets)
                 for k in range(FOLDS):
                     at = fold[lo:hi][d] == k
@@ -293,7 +349,7 @@ def _strongest_of(model: np.ndarray, parts: list[Evidence]):
         restore = Restorer(model)
         for batch in batches:
             fold, x = batch.column(2).to_numpy(), np.zeros((batch.num_rows, TOP))
-            for lo, hi, data, offsets in slabs(restored(batch.column(0), restore)):
+            for lo, hi, data, offsets in restored(batch.column(0), restore):
                 d, f = features(data, offsets)
                 for k, part in enumerate(parts):
                     at = fold[lo:hi] == k
@@ -338,7 +394,7 @@ def _scores(model: np.ndarray, evidence: Evidence):
         restore = Restorer(model)
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in slabs(restored(batch.column(1), restore)):
+            for lo, hi, data, offsets in restored(batch.column(1), restore):
                 score[lo:hi] = evidence.score(evidence.strongest(*features(data, offsets), hi - lo))
             crc = [zlib.crc32(str(k).encode()) % 4 == HELD_OUT if k is not None else False for k in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -116,6 +116,16 @@ def test_viterbi_is_the_best_path():
         assert decode(span) == best[0]
 
 
+def test_suspects_miss_nothing(odd_texts):
+    rng = random.Random(6)
+    parts = ["a", "B", "é", "日", " ", ".", "-", "_", "0", "1", "$", "!", "\n", "word", "ß", "\t", "5s", "ooo", "x y z w", "м", "ééé"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + [t or "" for t in odd_texts]
+    same = toxicity.Restorer(np.zeros((toxicity.SYMBOLS,) * 3))
+    whole = [bytes(d[a:b]).decode() for _, _, d, o in toxicity.restored(pa.array(texts), same) for a, b in zip(o[:-1], o[1:], strict=True)]
+    expected = [same(t) for t in texts]
+    assert whole == expected and sum(a != b for a, b in zip(texts, expected, strict=True)) > 500
+
+
 def test_symbols_and_features_of_bytes():
     text = "Añb Éé ß× idiot\nidiotic loweient"
     data = np.frombuffer(text.encode(), np.uint8)
