@@ -4,17 +4,20 @@ A document's set is its distinct five-word shingles (64-bit hashes).  Two docume
 75 * union.  In a fixed order of shingles, linked sets of n shingles share one of their first
 n - ceil(0.75 n) + 1, their prefix.
 
-1. Shingles that are frequent in some stretch of the documents (counted over all of them, reported by the stretch)
-   come last in the order, by their count, so that prefixes hold rare ones.  The order is the same for all and any
-   order gives the same links; the list that is sent to executors is bounded.
+1. The order puts rare shingles first: those that are frequent in some stretch of the documents come last, by their
+   count, and before them shingles come by how common their words are.  Both are counted over all documents, stretch
+   by stretch; a stretch reports what has at least a fixed share of it, so what has that share of the whole is
+   reported.  Any order gives the same links; the lists that are sent to executors are bounded.
 2. Documents with an equal prefix and size are one group.  Groups, not documents, are listed under the shingles of
    their prefix.  Lists of one group are dropped where they form.
 3. In a list, groups of like size are paired with the list's least (a star), members of a group with the least of
    them.  Pairs pass filters of size, position and a parity sketch (a bound of the symmetric difference), and the rest are
    verified on the whole sets.  What links makes components.
-4. In lists that still hold several components, every pair across components is filtered and verified likewise.
-   So each pair that shares a prefix shingle is verified or already connected: no link is lost, and a group of very many
-   near copies costs its size, not its square.
+4. Lists that still hold several components are gone through again, every pair across components passing the filters
+   first, the sketches too: twice to verify each set's likeliest partner outside its component, which joins what
+   belongs together, and once, with the components that result, all pairs that are left.  So each pair that shares a
+   prefix shingle is rejected by a bound, verified or already connected: no link is lost, and a group of very many near copies
+   costs about its size, not its square.
 5. Components of all verified links; copies (equal sets) take part once and get their class at the end.
 
 Cases: null or empty texts have no set, n_shingles 0, and are components of their own; rows of equal doc_id are
@@ -26,15 +29,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import materialize, partitions, ship, table
 from keyloom.llm.components import components
-from keyloom.llm.kernels import U64, mix64, shingle_sets, slabs
+from keyloom.llm.kernels import LOWER, U64, mix64, shingle_sets, slabs, weighed_shingles, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -44,11 +49,18 @@ STRETCH = 1 << 22
 REPORT_AT_LEAST = 4
 REPORT_SHARE = 1 / 2000
 MOST_FREQUENT = 200_000
+#: Words that make up this share of a stretch are reported, so a stretch reports 1 / WORD_SHARE at most; and how many are kept.
+WORD_SHARE = 1 / 20_000
+MOST_WORDS = 50_000
+#: Bytes of the sketch that goes with a list's entry.
+LIST_SKETCH = 128
 #: Shingles of one batch of prefixes.
 BATCH = 1 << 21
-#: Pairs made at once in a list.
+#: Pairs looked at and entries of lists held at once.
 PAIRS_AT_ONCE = 1 << 20
-#: 64-bit words of the filter that picks the documents to verify: 1 MB.
+ENTRIES_AT_ONCE = 200_000
+#: Documents to verify are picked by a broadcast of their ids up to this many (8 MB), beyond by a filter of 64-bit words (1 MB).
+BROADCAST_IDS = 1 << 20
 FILTER_WORDS = 1 << 17
 
 
@@ -56,32 +68,59 @@ def prefix_size(n: int) -> int:
     return n - -(-LIKE * n // 100) + 1 if n else 0
 
 
+_SHINGLE, _WORD = 0, 1
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def report(sets: list[np.ndarray]) -> pa.RecordBatch:
-        shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= max(REPORT_AT_LEAST, int(np.ceil(len(sets) * REPORT_SHARE)))
-        return pa.RecordBatch.from_arrays([pa.array(shingles[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["shingle", "n"])
+    def report(sets: list[np.ndarray], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for kind, found, least in ((_SHINGLE, sets, max(REPORT_AT_LEAST, len(sets) * REPORT_SHARE)), (_WORD, words, max(2, sum(map(len, words)) * WORD_SHARE))):
+            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+            often = counts >= least
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, dtype=np.int32)), pa.array(hashes[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["kind", "hash", "n"])
 
-    held, size = [], 0
+    sets, words, size = [], [], 0
     for batch in batches:
         for _, _, data, offsets in slabs(batch.column(0)):
-            sets = shingle_sets(data, offsets, SHINGLE)
-            held += sets
-            size += sum(map(len, sets))
+            found = shingle_sets(data, offsets, SHINGLE)
+            low = LOWER[data]
+            words.append(word_hashes(low, *word_bounds(low, offsets)[:2]))
+            sets += found
+            size += sum(map(len, found))
             if size >= STRETCH:
-                yield report(held)
-                held, size = [], 0
-    if held:
-        yield report(held)
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles ascending, their counts): at most MOST_FREQUENT, the most frequent of those reported."""
-    found = docs.select("text").mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
-    shingles, counts = rows["shingle"].to_numpy(dtype=np.int64).astype(np.uint64), rows["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], counts[order]
+                yield from report(sets, words)
+                sets, words, size = [], [], 0
+    if sets:
+        yield from report(sets, words)
+
+
+class Order:
+    """The order of shingles: (count if frequent, else 0; how common its words are; hash)."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray):
+        by = np.argsort(shingles)
+        self.shingles, self.counts = shingles[by], counts[by]
+        by = np.argsort(words)
+        self.words = words[by]
+        self.levels = (1 + np.floor(2 * np.log2(np.maximum(1, word_counts[by] / max(1, word_counts.min(initial=1))))).astype(np.int32)) if len(words) else np.zeros(0, dtype=np.int32)
+
+    def arrange(self, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Places of the shingles `own` (ascending) in order."""
+        count = np.zeros(len(own), dtype=np.int64)
+        if len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+            count = np.where(self.shingles[at] == own, self.counts[at], 0)
+        return np.lexsort((weight, count))  # stable: equal ones stay by hash
+
+
+def shingle_order(docs: DataFrame) -> Order:
+    """The order that the documents suggest, from at most MOST_FREQUENT shingles and MOST_WORDS words."""
+    found = docs.select("text").mapInArrow(_frequent, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    found = materialize(found, "frequent")
+    out = []
+    for kind, most in ((_SHINGLE, MOST_FREQUENT), (_WORD, MOST_WORDS)):
+        rows = found.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash").limit(most).toPandas()
+        out += [rows["hash"].to_numpy(dtype=np.int64).astype(np.uint64), rows["n"].to_numpy(dtype=np.int64)]
+    return Order(*out)
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
@@ -101,7 +140,15 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _prefixes(n_shards: int, frequent: np.ndarray, counts: np.ndarray):
+def folded(sketch: bytes, most: int) -> bytes:
+    """A sketch of at most `most` bytes from a longer one."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > most:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _prefixes(n_shards: int, order: Order):
     """Documents to rows (shard, list, doc...): packed prefix lists for shards, and one member row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +158,12 @@ def _prefixes(n_shards: int, frequent: np.ndarray, counts: np.ndarray):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo, hi, data, offsets in slabs(batch.column(1)):
-                for doc_id, own in zip(ids[lo:hi], shingle_sets(data, offsets, SHINGLE), strict=True):
+                for doc_id, (own, weight) in zip(ids[lo:hi], weighed_shingles(data, offsets, SHINGLE, order.words, order.levels), strict=True):
                     n = len(own)
                     if not n:
                         members.append((doc_id, None, None, 0, None))
                         continue
-                    rank = np.zeros(n, dtype=np.int64)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                        rank = np.where(frequent[at] == own, counts[at], 0)
-                    prefix = own[: prefix_size(n)] if not rank.any() else own[np.argsort(rank, kind="stable")[: prefix_size(n)]]
+                    prefix = own[order.arrange(own, weight)[: prefix_size(n)]]
                     raw = own.tobytes()
                     g = xxhash.xxh3_64_intdigest(prefix.tobytes(), n)
                     members.append((doc_id, xxhash.xxh3_128_digest(raw), g - (1 << 64) if g >> 63 else g, n, parity_sketch(own)))
@@ -177,7 +220,7 @@ _LISTED = "shingle long, grp long, n long, place int, least long"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's lists of two or more groups: (shingle, grp, n, place, least), least the least group of like size in the list."""
+    """A shard's lists: (shingle, grp, n, place, least) of the groups that may link with another, least the least group of like size."""
     parts = []
     for batch in batches:
         for block in batch.column(1).to_pylist():
@@ -191,10 +234,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s, g, n, place = s[order], g[order], n[order], place[order]
     first = np.concatenate([[True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
     s, g, n, place = s[first], g[first], n[first], place[first]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    which = np.cumsum(new) - 1
+    which = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
     several = np.bincount(which)[which] > 1
-    s, g, n, place = s[several], g[several], n[several], place[several]
+    s, g, n, place, which = s[several], g[several], n[several], place[several], which[several]
+    # entries that may link with some other of their list
+    order = np.lexsort((n, which))
+    s, g, n, place, which = s[order], g[order], n[order], place[order], which[order]
+    partnered = np.zeros(len(s), dtype=bool)
+    for i, j in _partners(which, n, place):
+        partnered[i] = True
+        partnered[j] = True
+    s, g, n, place = s[partnered], g[partnered], n[partnered], place[partnered]
     # sizes within a factor of 1 / LIKE of each other
     kind = np.floor(np.log(n.astype(np.float64)) / np.log(100 / LIKE) + 1e-9).astype(np.int64)
     order = np.lexsort((g, kind, s))
@@ -204,53 +254,107 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(least.astype(np.int64))], names=["shingle", "grp", "n", "place", "least"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, component, set, n, place) sorted by shingle to pairs (a, b) of sets of different components that pass the filters."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column in tables of ENTRIES_AT_ONCE or more that hold each of its values as a whole."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        s = batch.column(0).to_numpy()
-        if not len(s):
+        if not batch.num_rows:
             continue
-        cut = int(np.searchsorted(s, s[-1], "left")) if s[0] != s[-1] else 0
-        if cut:
-            held.append(batch.slice(0, cut))
-            yield from _pairs(pa.Table.from_batches(held))
-            held = []
-        elif held and held[-1].column(0)[0].as_py() != s[0]:
-            yield from _pairs(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
+        if size >= ENTRIES_AT_ONCE:
+            s, before = batch.column(0).to_numpy(), held[-1].column(0)[-1].as_py()
+            cut = int(np.searchsorted(s, before, "right")) if s[0] == before else 0
+            if cut < len(s):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
     if held:
-        yield from _pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
-def _pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    s, n, place = (t.column(i).to_numpy() for i in (0, 3, 4))
+def _across(likeliest: bool):
+    """Rows (shingle, component, set, n, place, sketch), sorted by shingle, to pairs (a, b) of sets of different components that pass the filters.
+
+    With `likeliest` only the pair of least difference of each set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            yield _pairs(t, likeliest)
+
+    return run
+
+
+def _partners(which: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of one list, in arrays, that could_link(); entries are by list and size."""
+    n = n.astype(np.int64)
+    # an entry's partners are those after it, as far as sizes may link
+    reach = np.searchsorted(which.astype(np.int64) << 32 | n, which.astype(np.int64) << 32 | n * 100 // LIKE, "right")
+    count = reach - np.arange(len(n)) - 1
+    total = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS_AT_ONCE, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), count[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
+        ok = could_link(n[i], place[i], n[j], place[j])
+        yield i[ok], j[ok]
+        lo = hi
+
+
+def _pairs(t: pa.Table, likeliest: bool) -> pa.RecordBatch:
     sets = t.column(2).combine_chunks().dictionary_encode()
-    component = t.column(1).combine_chunks().dictionary_encode()
-    names, x, c = sets.dictionary, sets.indices.to_numpy(), component.indices.to_numpy()
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    mixed = np.minimum.reduceat(c, new) != np.maximum.reduceat(c, new)
-    ends = np.append(new[1:], len(s))
-    found: list[np.ndarray] = []
-    size = 0
-    for a, b in zip(new[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        step = max(1, PAIRS_AT_ONCE // (b - a))
-        for lo in range(a, b, step):
-            i, j = np.meshgrid(np.arange(lo, min(lo + step, b)), np.arange(a, b), indexing="ij")
-            i, j = i[i < j], j[i < j]
-            ok = (c[i] != c[j]) & (x[i] != x[j]) & could_link(n[i], place[i], n[j], place[j])
-            i, j = x[i[ok]], x[j[ok]]
-            found.append(np.minimum(i, j).astype(np.int64) << 32 | np.maximum(i, j))
-            size += len(found[-1])
-            if size > PAIRS_AT_ONCE:
-                found = [np.unique(np.concatenate(found))]
-                size = len(found[0])
-                if size > PAIRS_AT_ONCE // 2:
-                    yield _pair_rows(found[0], names)
-                    found, size = [], 0
-    if found:
-        yield _pair_rows(np.unique(np.concatenate(found)), names)
+    names, x = sets.dictionary, sets.indices.to_numpy()
+    of = np.zeros(len(names), dtype=np.int64)  # a row of each set
+    of[x] = np.arange(len(x))
+    size = t.column(3).to_numpy()[of]
+    packed = _equal_width(t.column(5).take(pa.array(of)).to_pylist())
+    c = t.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+    s, n, place = (t.column(i).to_numpy() for i in (0, 3, 4))
+    order = np.lexsort((n, s))
+    s, n, place, x, c = s[order], n[order], place[order], x[order], c[order]
+    found = [np.zeros(0, dtype=np.int64)]
+    for i, j in _partners(np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])), n, place):
+        ok = (c[i] != c[j]) & (x[i] != x[j])
+        u, v = x[i[ok]].astype(np.int64), x[j[ok]].astype(np.int64)
+        found.append(np.unique(np.minimum(u, v) << 32 | np.maximum(u, v)))
+        if len(found) > 8:
+            found = [np.unique(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found))
+    u, v = pairs >> 32, pairs & 0xFFFFFFFF
+    differ = _differences(packed, u, v)
+    ok = (100 + LIKE) * differ <= (100 - LIKE) * (size[u] + size[v])
+    pairs, u, v, differ = pairs[ok], u[ok], v[ok], differ[ok]
+    if likeliest and len(pairs):
+        one, other, d = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([differ, differ])
+        by = np.lexsort((other, d, one))
+        first = by[np.concatenate([[True], one[by][1:] != one[by][:-1]])]
+        pairs = np.unique(pairs[first % len(pairs)])
+    return _pair_rows(pairs, names)
+
+
+def _equal_width(sketches: list[bytes]) -> dict[int, np.ndarray]:
+    """For each width of sketches the rows of all of at least that width, folded to it, as 64-bit words; others are 0.  At 0 the widths."""
+    out = {}
+    for width in {len(x) for x in sketches}:
+        raw = b"".join([folded(x, width) if len(x) >= width else bytes(width) for x in sketches])
+        out[width] = np.frombuffer(raw, np.uint64).reshape(len(sketches), width // 8)
+    out[0] = np.array([len(x) for x in sketches], dtype=np.int64)
+    return out
+
+
+def _differences(packed: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lower bounds of the symmetric differences of sets i and j."""
+    width = np.minimum(packed[0][i], packed[0][j])
+    out = np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        words = packed[w]
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            out[part] = np.bitwise_count(words[i[part]] ^ words[j[part]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _pair_rows(pairs: np.ndarray, names: pa.Array) -> pa.RecordBatch:
@@ -259,10 +363,12 @@ def _pair_rows(pairs: np.ndarray, names: pa.Array) -> pa.RecordBatch:
 
 
 def could_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles that share one at places i and j of their orders may be alike: sizes, and what can lie before and after."""
+    """Whether sets of n and m shingles may link whose first common one is at places i and j of their orders.
+
+    All they have in common lies from there on.  In the list of a later common shingle a pair may well fail.
+    """
     n, i, m, j = (x.astype(np.int64) for x in (n, i, m, j))
-    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return (100 * np.minimum(n, m) >= LIKE * np.maximum(n, m)) & ((100 + LIKE) * most >= LIKE * (n + m))
+    return (100 * np.minimum(n, m) >= LIKE * np.maximum(n, m)) & ((100 + LIKE) * np.minimum(n - i, m - j) >= LIKE * (n + m))
 
 
 def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +380,21 @@ def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select([0, 1, 2, 3]).filter(pa.array((100 + LIKE) * differ <= (100 - LIKE) * (n + m)))
 
 
-def _whole_sets(words: np.ndarray):
+def _whole_sets(words: np.ndarray | None):
+    """Documents (those that the filter may hold) to (set, shingles), a set once for each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = np.array([-1 if k is None or k != k else int(k) for k in ids.tolist()], dtype=np.int64)
-            h = mix64(ids.astype(np.uint64)) % U64(64 * FILTER_WORDS)
-            on = (words[(h >> U64(6)).astype(np.int64)] >> (h & U64(63)) & U64(1)).astype(bool)
-            keep = batch.filter(pa.array(on))
-            for lo, hi, data, offsets in slabs(keep.column(1)):
+            if words is not None:
+                h = mix64(np.array([-1 if k is None else k for k in batch.column(0).to_pylist()], dtype=np.int64).astype(np.uint64)) % U64(64 * FILTER_WORDS)
+                batch = batch.filter(pa.array((words[(h >> U64(6)).astype(np.int64)] >> (h & U64(63)) & U64(1)).astype(bool)))
+            for _, _, data, offsets in slabs(batch.column(1)):
                 sets = shingle_sets(data, offsets, SHINGLE)
-                raw = [x.tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["set", "shingles"])
+                raw = {xxhash.xxh3_128_digest(x): x for x in map(np.ndarray.tobytes, sets)}
+                raw = {k: x for k, x in raw.items() if k not in seen}
+                seen.update(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.binary()), pa.array(list(raw.values()), pa.binary())], names=["set", "shingles"])
 
     return run
 
@@ -323,21 +432,38 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     b = sets.select(F.col("set").alias("b"), F.col("doc_id").alias("b_doc"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_sketch", "b_sketch")
     likely = materialize(likely.mapInArrow(_sketch_filter, "a binary, b binary, a_doc long, b_doc long"), "likely")
-    wanted = likely.select(F.col("a").alias("set"), F.col("a_doc").alias("doc_id")).unionAll(likely.select("b", "b_doc")).distinct()
-    words = _document_filter(wanted.select("doc_id"))
+    wanted = materialize(likely.select(F.col("a").alias("set"), F.col("a_doc").alias("doc_id")).unionAll(likely.select("b", "b_doc")).distinct(), "wanted")
+    words = None
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+        docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    else:
+        words = _document_filter(wanted.select("doc_id"))
     whole = docs.select("doc_id", "text").mapInArrow(_whole_sets(words), "set binary, shingles binary")
-    whole = materialize(whole.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "whole-sets")
+    whole = materialize(whole, "whole-sets")
     x, y = whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     return likely.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary")
 
 
+@F.pandas_udf(T.BinaryType())
+def _folded(sketch: pd.Series) -> pd.Series:
+    return sketch.map(lambda x: folded(x, LIST_SKETCH))
+
+
+def _mixed_lists(entries: DataFrame, placed: DataFrame) -> DataFrame:
+    """The entries of lists with sets of several components."""
+    mark = F.xxhash64("component")
+    groups = placed.groupBy("grp").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    mixed = entries.join(groups, "grp").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
+    return entries.join(mixed, "shingle", "left_semi")
+
+
 def linked_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs, n_shards = docs.select("doc_id", "text"), partitions(spark)
-    frequent, counts = frequent_shingles(docs)
-    rows = materialize(docs.mapInArrow(_prefixes(n_shards, frequent, counts), _OUT), "prefixes")
+    rows = materialize(docs.mapInArrow(_prefixes(n_shards, shingle_order(docs)), _OUT), "prefixes")
     members = rows.where(F.col("list").isNull()).select("doc_id", "set", "grp", "n", "sketch")
     lists = rows.where(F.col("list").isNotNull()).select("shard", "list").repartitionById(n_shards, "shard")
     listed = materialize(lists.mapInArrow(_gather, _LISTED), "listed")
@@ -347,16 +473,20 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     star = listed.where(F.col("grp") != F.col("least")).select("grp", "least").distinct()
     star = star.join(heads.select("grp", F.col("head").alias("a")), "grp").join(heads.select(F.col("grp").alias("least"), F.col("head").alias("b")), "least").select("a", "b")
     inner = sets.join(heads.where("k > 1"), "grp").where(F.col("set") != F.col("head")).select(F.col("head").alias("a"), F.col("set").alias("b"))
-    near = materialize(verified(star.unionAll(inner), sets, docs), "near")
-    of = materialize(components(near), "components")
-    # lists that still hold several components
-    placed = sets.select("set", "grp").join(of, F.col("set") == F.col("node"), "left").select("set", "grp", F.coalesce("component", "set").alias("component"))
-    entries = listed.select("shingle", "grp", "n", "place").unionAll(sets.join(heads.where("k > 1"), "grp").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("place")).distinct())
-    entries = entries.join(placed, "grp").select("shingle", "component", "set", "n", "place")
-    across = entries.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(_across, "a binary, b binary").distinct()
-    more = materialize(verified(across, sets, docs), "across")
-    if not more.isEmpty():
-        of = materialize(components(near.unionAll(more)), "components")
+    links = materialize(verified(star.unionAll(inner), sets, docs), "near")
+    of = materialize(components(links), "components")
+    # the members of a group share its prefix: a list of their own
+    own = sets.join(heads.where("k > 1").select("grp"), "grp").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("place")).distinct()
+    entries = listed.select("shingle", "grp", "n", "place").unionAll(own)
+    for likeliest in (True, True, False):
+        placed = sets.join(of, F.col("set") == F.col("node"), "left").select("set", "grp", F.coalesce("component", "set").alias("component"), "sketch")
+        entries = materialize(_mixed_lists(entries, placed), "mixed")
+        wide = entries.join(placed.withColumn("sketch", _folded("sketch")), "grp").select("shingle", "component", "set", "n", "place", "sketch")
+        pairs = wide.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(_across(likeliest), "a binary, b binary").distinct()
+        more = materialize(verified(pairs, sets, docs), "across")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            of = materialize(components(links), "components")
     of_set = members.join(of, F.col("set") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "set").alias("class"))
     least = of_set.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -82,6 +82,14 @@ def test_chains_and_large_groups_of_near_copies(spark):
     assert result(linked_classes(documents(spark, rows))) == brute(rows)
 
 
+def test_many_documents_to_verify(spark, corpus, odd_texts, monkeypatch):
+    import keyloom.llm.jaccard_join as module
+
+    monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    rows = corpus + [(None, corpus[0][1]), (None, odd_texts[4])]
+    assert result(linked_classes(documents(spark, rows))) == brute(rows)
+
+
 def test_order_of_shingles_does_not_matter(spark, corpus, monkeypatch):
     import keyloom.llm.jaccard_join as module
 
@@ -102,8 +110,7 @@ def test_bounds():
             p, q = a[: prefix_size(len(a))], b[: prefix_size(len(b))]
             both = np.intersect1d(p, q)
             assert len(both)
-            for t in both:
-                assert could_link(np.array([len(a)]), np.searchsorted(a, [t]), np.array([len(b)]), np.searchsorted(b, [t]))[0]
+            assert could_link(np.array([len(a)]), np.searchsorted(a, both[:1]), np.array([len(b)]), np.searchsorted(b, both[:1]))[0]
     assert [prefix_size(n) for n in (0, 1, 2, 4, 100)] == [0, 1, 1, 2, 26]
 
 
