@@ -473,8 +473,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     star = listed.where(F.col("grp") != F.col("least")).select("grp", "least").distinct()
     star = star.join(heads.select("grp", F.col("head").alias("a")), "grp").join(heads.select(F.col("grp").alias("least"), F.col("head").alias("b")), "least").select("a", "b")
     inner = sets.join(heads.where("k > 1"), "grp").where(F.col("set") != F.col("head")).select(F.col("head").alias("a"), F.col("set").alias("b"))
-    links = materialize(verified(star.unionAll(inner), sets, docs), "near")
-    of = materialize(components(links), "components")
+    of = materialize(components(verified(star.unionAll(inner), sets, docs)), "components")
     # the members of a group share its prefix: a list of their own
     own = sets.join(heads.where("k > 1").select("grp"), "grp").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("place")).distinct()
     entries = listed.select("shingle", "grp", "n", "place").unionAll(own)
@@ -485,8 +484,8 @@ def linked_classes(docs: DataFrame) -> DataFrame:
         pairs = wide.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(_across(likeliest), "a binary, b binary").distinct()
         more = materialize(verified(pairs, sets, docs), "across")
         if not more.isEmpty():
-            links = links.unionAll(more)
-            of = materialize(components(links), "components")
+            # what is known of components is a star each, and links may go on from there
+            of = materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
     of_set = members.join(of, F.col("set") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "set").alias("class"))
     least = of_set.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
