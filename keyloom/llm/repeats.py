@@ -39,7 +39,7 @@ from keyloom.llm.suffix_array import NO_LEFT, SuffixArray, repeat_groups
 WIDTH = 50
 GRAM = 16
 #: Bytes of documents in one block.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 _PLACE_BITS = 28
 _HASH_BITS = 48
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -329,7 +329,7 @@ def repeat_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     """
     spark = docs.sparkSession
     ship(spark)
-    n_shards = partitions(spark)
+    n_shards = 2 * partitions(spark)  # a task holds the runs of its shard
     others = docs.schema.fields[2:]
     blocks = docs.select("doc_id", "text").mapInArrow(_anchors(n_shards, width), "shard int, block binary").repartitionById(n_shards, "shard")
     runs = materialize(blocks.mapInArrow(_merge, _RUNS), "runs")
