@@ -169,3 +169,32 @@ def test_views_exchange_labels():
     truth = y[~labelled_rows] > 0.5
     assert ((score > 0.5) == truth).mean() > 0.97
     assert ((score > 0.5) == truth).mean() >= max(((one > 0.5) == truth).mean(), ((two > 0.5) == truth).mean()) - 0.01
+
+
+def test_quality_views_take_confident_rows_from_all_unlabelled(spark, labelled):
+    """The most confident rows are found among all unlabelled ones, whichever task holds them."""
+    rows, labels = labelled
+    frame = spark.createDataFrame(labels[:100] + [(500, None, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows + [(None, rows[3][1])]).repartition(5)
+    stored = quality_classifier.unlabelled_views(docs, frame)
+    ids = [d for d, *_ in rows if d >= 100 and not held_out(d)] + [None]
+    assert sorted((r.doc_id for r in stored.collect()), key=str) == sorted(ids, key=str)
+    held = stored.collect()
+    views = quality_classifier.unpacked_views([r.content for r in held], [r.metadata for r in held])
+    rng = np.random.default_rng(8)
+    weights = [rng.normal(size=x.shape[1] + 1).astype(np.float32) * 30 for x in views]
+    for x, w in zip(views, weights, strict=True):
+        w[-1] -= np.median(quality_classifier.margin(x, w))
+    pool = quality_classifier.StoredPool(stored)
+    first = pool.confident(weights, 0.01, [{}, {}])
+    for v in (0, 1):
+        z = quality_classifier.margin(views[v], weights[v])
+        for label, n in quality_classifier.wanted(0.01).items():
+            sign = 1 if label else -1
+            own = sign * quality_classifier.margin(pool.rows(v, [k for k in first[v] if first[v][k] == label]), weights[v])
+            best = np.sort(sign * z)[::-1]
+            best = best[best >= np.log(19)][:n]
+            assert len(best) and np.allclose(np.sort(own)[::-1], best, atol=1e-3)
+    again = pool.confident(weights, 0.01, [first[1], first[0]])
+    assert not set(again[0]) & set(first[0]) and not set(again[1]) & set(first[1])
+    assert (quality_classifier.MOST_LABELLED, quality_classifier.HASHED) == (12_000, 4096)
