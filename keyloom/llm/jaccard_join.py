@@ -19,6 +19,8 @@ n - ceil(0.75 n) + 1, their prefix.
    prefix shingle is rejected by a bound, verified or already connected: no link is lost, and a group of very many near copies
    costs about its size, not its square.
 5. Components of all verified links; copies (equal sets) take part once and get their class at the end.
+6. Links lie inside components, so all pairs of a component's sets are verified, in tiles of two blocks of sets, and
+   counted or listed.  This is the square of a component's number of different sets; copies count by their number.
 
 Cases: null or empty texts have no set, n_shingles 0, and are components of their own; rows of equal doc_id are
 separate documents with that id; an empty table gives an empty result.
@@ -56,6 +58,10 @@ MOST_WORDS = 50_000
 LIST_SKETCH = 128
 #: Shingles of one batch of prefixes.
 BATCH = 1 << 21
+#: Sets and shingles of one block of a component, on average, and shingles that a tile compares at once.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 20
+COMPARED_AT_ONCE = 4096
 #: Pairs looked at and entries of lists held at once.
 PAIRS_AT_ONCE = 1 << 20
 ENTRIES_AT_ONCE = 200_000
@@ -433,6 +439,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_sketch", "b_sketch")
     likely = materialize(likely.mapInArrow(_sketch_filter, "a binary, b binary, a_doc long, b_doc long"), "likely")
     wanted = materialize(likely.select(F.col("a").alias("set"), F.col("a_doc").alias("doc_id")).unionAll(likely.select("b", "b_doc")).distinct(), "wanted")
+    whole = whole_sets(wanted, docs)
+    x, y = whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+    return likely.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary")
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, shingles) of the documents that wanted (set, doc_id) names and of others; a set may come several times."""
     words = None
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
@@ -440,9 +453,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     else:
         words = _document_filter(wanted.select("doc_id"))
     whole = docs.select("doc_id", "text").mapInArrow(_whole_sets(words), "set binary, shingles binary")
-    whole = materialize(whole, "whole-sets")
-    x, y = whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return likely.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary")
+    return materialize(whole, "whole-sets")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -458,8 +469,8 @@ def _mixed_lists(entries: DataFrame, placed: DataFrame) -> DataFrame:
     return entries.join(mixed, "shingle", "left_semi")
 
 
-def linked_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): members (doc_id, set, n...) of every row, sets (set, doc_id, n, copies...), and the component of every set that links with another."""
     spark = docs.sparkSession
     ship(spark)
     docs, n_shards = docs.select("doc_id", "text"), partitions(spark)
@@ -467,7 +478,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     members = rows.where(F.col("list").isNull()).select("doc_id", "set", "grp", "n", "sketch")
     lists = rows.where(F.col("list").isNotNull()).select("shard", "list").repartitionById(n_shards, "shard")
     listed = materialize(lists.mapInArrow(_gather, _LISTED), "listed")
-    sets = members.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = members.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     sets = materialize(sets, "sets")
     heads = materialize(sets.groupBy("grp").agg(F.min("set").alias("head"), F.count("*").alias("k")), "heads")
     star = listed.where(F.col("grp") != F.col("least")).select("grp", "least").distinct()
@@ -486,9 +497,103 @@ def linked_classes(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             # what is known of components is a star each, and links may go on from there
             of = materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
-    of_set = members.join(of, F.col("set") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "set").alias("class"))
+    return members, sets, of
+
+
+def _common(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the sets `own` has in common with each of `other`."""
+    found, column = np.unique(np.concatenate([*own, *other]), return_inverse=True)
+    row = np.repeat(np.arange(len(own) + len(other)), [len(x) for x in [*own, *other]])
+    several = np.bincount(column, minlength=len(found)) > 1
+    column, row = (np.cumsum(several) - 1)[column[several[column]]], row[several[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(own), len(other)), dtype=np.float32)
+    for lo in range(0, int(several.sum()), COMPARED_AT_ONCE):
+        a, b = np.searchsorted(column, [lo, lo + COMPARED_AT_ONCE])
+        has = np.zeros((len(own) + len(other), COMPARED_AT_ONCE), dtype=np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        out += has[: len(own)] @ has[len(own) :].T
+    return out.astype(np.int64)
+
+
+def _tile(listed: bool):
+    """A tile (lo, hi, block, set, doc_id, copies, shingles) to (set, n) or, if listed, to linked pairs (doc_id, other)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = list({r["set"]: r for r in t.to_pylist()}.values())
+        one = rows[0]["lo"] == rows[0]["hi"]
+        parts = [rows, rows] if one else [[r for r in rows if r["block"] == r[k]] for k in ("lo", "hi")]
+        own, other = ([np.frombuffer(r["shingles"], np.uint64) for r in part] for part in parts)
+        links = np.zeros((len(own), len(other)), dtype=bool)
+        if own and other:
+            common = _common(own, other)
+            n, m = (np.array([len(x) for x in part])[:, None] for part in (own, other))
+            links = 100 * common >= LIKE * (n + m.T - common)
+        if one:
+            np.fill_diagonal(links, False)
+        if listed:
+            i, j = np.nonzero(np.triu(links) if one else links)
+            return pa.table({"doc_id": pa.array([parts[0][k]["doc_id"] for k in i], pa.int64()), "other": pa.array([parts[1][k]["doc_id"] for k in j], pa.int64())})
+        copies = [np.array([r["copies"] for r in part], dtype=np.int64) for part in parts]
+        name, count = [r["set"] for r in parts[0]], (links @ copies[1]).tolist()
+        if not one:
+            name, count = name + [r["set"] for r in parts[1]], count + (links.T @ copies[0]).tolist()
+        return pa.table({"set": pa.array(name, pa.binary()), "n": pa.array(count, pa.int64())})
+
+    return run
+
+
+def _tiles(docs: DataFrame, sets: DataFrame, of: DataFrame):
+    """All pairs of sets of one component, in tiles."""
+    linked = sets.join(of, F.col("set") == F.col("node")).select("component", "set", "doc_id", "n", "copies")
+    linked = materialize(linked, "linked")
+    whole = whole_sets(linked.select("set", "doc_id"), docs)
+    blocks = linked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = linked.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    placed = placed.select("component", "set", "doc_id", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("beside"))
+    placed = placed.join(whole, "set").select("component", F.least("block", "beside").alias("lo"), F.greatest("block", "beside").alias("hi"), "block", "set", "doc_id", "copies", "shingles")
+    return placed.groupBy("component", "lo", "hi")
+
+
+def linked_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs (doc_id, text); n_links counts the other rows that it links with, copies too."""
+    docs = docs.select("doc_id", "text")
+    members, sets, of = _classified(docs)
+    counts = _tiles(docs, sets, of).applyInArrow(_tile(False), "set binary, n long").groupBy("set").agg(F.sum("n").alias("others"))
+    of_sets = sets.join(of, F.col("set") == F.col("node"), "left").join(counts, "set", "left")
+    of_sets = of_sets.select(F.col("set").alias("of"), F.coalesce("component", "set").alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    of_set = members.join(of_sets, F.col("set") == F.col("of"), "left").select("doc_id", "n", "class", "n_links")
     least = of_set.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def linked_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, other) for every two different sets that link, a set by its least doc_id."""
+    docs = docs.select("doc_id", "text")
+    _, sets, of = _classified(docs)
+    return _tiles(docs, sets, of).applyInArrow(_tile(True), "doc_id long, other long")
+
+
+def class_heads(docs: DataFrame) -> DataFrame:
+    """(doc_id, set) of each class with words: its least doc_id, null last, and of that one the least set."""
+    members, _, of = _classified(docs.select("doc_id", "text"))
+    rows = members.where(F.col("set").isNotNull()).join(of, F.col("set") == F.col("node"), "left")
+    rows = rows.groupBy(F.coalesce("component", "set").alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set")).alias("x"))
+    return rows.select("x.doc_id", "x.set")
+
+
+def with_set(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Every row with the digest of its text's set, as class_heads() has it, in the column `name`."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for _, _, data, offsets in slabs(batch.column(at)) for x in shingle_sets(data, offsets, SHINGLE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, name])
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

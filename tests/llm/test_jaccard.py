@@ -132,3 +132,26 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in of}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_every_link_is_counted_and_listed(spark, corpus, monkeypatch):
+    import keyloom.llm.jaccard_join as module
+
+    monkeypatch.setattr(module, "BLOCK_SETS", 3)
+    monkeypatch.setattr(module, "COMPARED_AT_ONCE", 7)
+    rows = corpus + chain(12) + [(None, corpus[0][1]), (9000, ""), (9001, None)]
+    sets = [frozenset(shingles(t)) for _, t in rows]
+
+    def link(a, b):
+        return bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+
+    expected = [(d, sum(link(a, b) for b in sets) - bool(a)) for (d, _), a in zip(rows, sets, strict=True)]
+    docs = documents(spark, rows)
+    assert sorted(map(tuple, linked_classes(docs).select("doc_id", "n_links").collect()), key=repr) == sorted(expected, key=repr)
+    least = {}
+    for (d, _), a in zip(rows, sets, strict=True):
+        if d is not None:
+            least[a] = min(d, least.get(a, d))
+    pairs = {frozenset((least[a], least[b])) for a in least for b in least if a != b and link(a, b)}
+    got = [frozenset(r) for r in module.linked_pairs(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
