@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; it is
 written as Parquet and read again as the next stage's docs.  All but the last return the columns of documents.
 
-Cases: a table without rows passes through every stage; null texts are empty; rows of equal doc_id are one
-document's, of which the join's stage keeps the one of least text; columns that documents have besides are kept.
+Cases: a table without rows passes through every stage; null texts are empty; the join's stage decides
+by row, so rows of one doc_id or of none that link with nothing all stay, as do texts without words; columns that documents have besides are kept.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, table
-from keyloom.llm.jaccard_join import linked_classes
+from keyloom.llm.common import SPACES, materialize, table
+from keyloom.llm.jaccard_join import class_heads, with_set
 from keyloom.llm.mixing import mixed_documents
 from keyloom.llm.packing import cut_pieces, pack
 from keyloom.llm.quality_classifier import THRESHOLD, score_quality
@@ -30,11 +30,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the Jaccard join the document of least doc_id."""
-    chosen = linked_classes(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_chosen")).distinct()
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_chosen")))
-    first = Window.partitionBy("_chosen").orderBy("text")
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+    """Of each class of the Jaccard join the row of least doc_id (null last), set and text; and the rows without words."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    blank = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)) == ""
+    heads = class_heads(docs).toDF("head_id", "head_set")
+    rows = with_set(own.where(~blank), text, "set").join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & (F.col("set") == F.col("head_set")), "left_semi")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("set").orderBy(text))).where("nth = 1").drop("set", "nth")
+    return rows.unionAll(own.where(blank)).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_stages_on_nothing_and_on_repeated_rows(spark, folder):
     extra = documents(spark, [(r.doc_id, r.text) for r in few.collect()])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, extra, folder).columns == extra.columns, name
+
+
+def test_join_stage_keeps_rows_that_link_with_nothing(spark, folder):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "wxyz")
+    rows = [(None, one), (None, two), (None, two), (5, three), (5, four[:-4]), (3, four), (None, None), (None, " ")]
+    got = corpus_pipeline.keep_one_of_each_class(spark, documents(spark, rows), folder)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, one), (None, two), (5, three), (3, four), (None, None), (None, " ")], key=repr)
