@@ -2,8 +2,8 @@
 
 1. A character language model: counts of character triples inside words, over all documents (sums of whole
    numbers, at most SYMBOLS^3 of them).
-2. Where a text may hide words, that is where a token mixes letters with look-alike signs, runs one letter three
-   times or more, or single characters stand in a row, the span becomes a lattice: a sign may stand for itself or
+2. Where a text may hide words, that is where a token has look-alike signs beside letters, runs one letter three
+   times or more, or three or more single letters and signs stand in a row, the span becomes a lattice: a sign may stand for itself or
    for letters, a run for one or two of its letters, a gap between single characters for nothing or a space.  The
    most probable path under channel costs and the language model is the restored span.  Other text is its own
    restoration and is not decoded.
@@ -20,6 +20,7 @@ with equal ids are scored each by its text; an empty table gives an empty result
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -44,13 +45,19 @@ THRESHOLD = 0.3
 #: Documents that a feature must be in to count, and the strongest features that the score looks at.
 LEAST_DOCS = 5
 TOP = 3
-LONGEST_SPAN = 64
+#: Steps of the decoder after which what all paths agree in is set down; and the longest span that the memo holds.
+SETTLE = 64
+LONGEST_HELD = 256
 BEGINNINGS = (4, 5)
 
 _SUSPECT = regex.compile(
-    r"(?<![^\s])(?:\p{L}[ ._-]){3,}\p{L}(?![^\s.,!?])"  # single letters in a row
-    r"|(?=[^\s]*\p{L})(?=[^\s]*(?:\p{L}[0-9@$!|+(*]+\p{L}|(?<![^\s])[0-9@$|+(*]+\p{L}|(\p{L})\1\1))[^\s]{3,}"
+    r"(?<![^\s])(?:[\p{L}0-9@$!|+(*][ ._-]){2,}[\p{L}0-9@$!|+(*](?![^\s.,!?])"  # single letters and signs in a row
+    r"|(?=[^\s]*(?:\p{L}[0-9@$|+(*]|[0-9@$|+(*]\p{L}|\p{L}!+\p{L}|(\p{L})\1\1))[^\s]{3,}"
 )
+_LETTERS = regex.compile(r"\p{L}")
+_SINGLE = regex.compile(r"(?:[\p{L}0-9@$!|+(*][ ._-])+[\p{L}0-9@$!|+(*]?")
+
+
 def symbol(c: str) -> int:
     """1 to 26 for a-z, 27 to 63 for other letters, 0 for all else."""
     if "a" <= c <= "z":
@@ -113,7 +120,7 @@ class Restorer:
         self.stretches: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> str:
-        return _SUSPECT.sub(lambda m: self.span(m[0]), text)
+        return _SUSPECT.sub(lambda m: self.span(m[0]) if _LETTERS.search(m[0]) else m[0], text)
 
     def stretch(self, words: bytes) -> bytes:
         """Some words of a text, as UTF-8."""
@@ -127,38 +134,39 @@ class Restorer:
         return out
 
     def span(self, span: str) -> str:
+        if len(span) > LONGEST_HELD:
+            return self.decode(span)
         if span not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            out = []
-            for lo in range(0, len(span), LONGEST_SPAN):  # longer ones in pieces
-                out.append(self.decode(span[lo : lo + LONGEST_SPAN]))
-            self.memo[span] = "".join(out)
+            self.memo[span] = self.decode(span)
         return self.memo[span]
 
-    def decode(self, span: str) -> str:
-        low = span.lower()
-        single = bool(regex.fullmatch(r"(?:\p{L}[ ._-])+\p{L}?", low))
-        stages: list[list[tuple[str, float]]] = []
+    def stages(self, low: str) -> Iterator[list[tuple[str, float]]]:
+        """What each stretch of a span may stand for, and at what cost."""
+        single = bool(_SINGLE.fullmatch(low))
         at = 0
         while at < len(low):
             c, run = low[at], 1
             while at + run < len(low) and low[at + run] == c:
                 run += 1
             if c in LOOKALIKES:
-                for _ in range(run if run < 3 else 1):
-                    stages.append([(x, COST_SIGN) for x in LOOKALIKES[c]] + [(c, COST_STAY)])
                 if run >= 3:
-                    stages[-1] = [(x, COST_SIGN + COST_RUN) for x in LOOKALIKES[c]] + [(c * run, COST_STAY)]
+                    yield [(x, COST_SIGN + COST_RUN) for x in LOOKALIKES[c]] + [(c * run, COST_STAY)]
+                else:
+                    yield from [[(x, COST_SIGN) for x in LOOKALIKES[c]] + [(c, COST_STAY)]] * run
             elif run >= 3 and symbol(c):
-                stages.append([(c, COST_RUN), (c * 2, COST_RUN)])
+                yield [(c, COST_RUN), (c * 2, COST_RUN)]
             elif single and c in " ._-":
-                stages.append([("", COST_GAP), (" ", COST_BREAK)])
+                yield [("", COST_GAP), (" ", COST_BREAK)]
             else:
-                stages.extend([[(c, 0.0)]] * run)
+                yield from [[(c, 0.0)]] * run
             at += run
+
+    def decode(self, span: str) -> str:
+        settled: list[str] = []
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for choices in stages:
+        for step, choices in enumerate(self.stages(span.lower()), 1):
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, path) in best.items():
                 for text, price in choices:
@@ -171,7 +179,11 @@ class Restorer:
                     if old is None or total < old[0]:
                         after[(p, q)] = (total, path + text)
             best = after
-        return min((cost + self.model[a][b][0], path) for (a, b), (cost, path) in best.items())[1]
+            if step % SETTLE == 0:
+                same = os.path.commonprefix([path for _, path in best.values()])
+                settled.append(same)
+                best = {k: (cost, path[len(same) :]) for k, (cost, path) in best.items()}
+        return "".join(settled) + min((cost + self.model[a][b][0], path) for (a, b), (cost, path) in best.items())[1]
 
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -226,7 +238,7 @@ _GAP[list(b" ._-")] = True
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the stretches of words of a slab that may hold a suspect span; misses none.
 
-    Looks for a sign before a letter, three equal letters in a row, or letters and gaps by turns, by characters, and
+    Looks for a sign beside a letter, three equal letters in a row, or letters or signs and gaps by turns, by characters, and
     takes the words that these lie in, neighbours together.
     """
     none = np.zeros(0, dtype=np.int64)
@@ -238,11 +250,13 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     letter = (x[head] > 0) | beyond  # other scripts may hold letters
     marked = np.zeros(len(head), dtype=bool)
     marked[:-1] = _SIGN[first[:-1]] & letter[1:]
+    marked[1:] |= letter[:-1] & _SIGN[first[1:]]
     code = np.where(beyond, (first.astype(np.int64) << 8) | data[np.minimum(head + 1, len(data) - 1)], LOWER[first])
     marked[:-2] |= letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
     if len(head) > 4:
         gap = _GAP[first]
-        turns = letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]
+        single = letter | _SIGN[first]
+        turns = single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:]
         for k in range(5):
             marked[k : len(head) - 4 + k] |= turns
     starts, ends, by = word_bounds(data, offsets)

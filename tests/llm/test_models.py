@@ -198,3 +198,17 @@ def test_quality_views_take_confident_rows_from_all_unlabelled(spark, labelled):
     again = pool.confident(weights, 0.01, [first[1], first[0]])
     assert not set(again[0]) & set(first[0]) and not set(again[1]) & set(first[1])
     assert (quality_classifier.MOST_LABELLED, quality_classifier.HASHED) == (12_000, 4096)
+
+
+def test_restoration_of_all_shapes_of_hiding(spark, labelled):
+    rows, _ = labelled
+    known = ["idiot", "moron", "loser", "ass", "hell", "foo"]
+    text = " ".join(r[1].lower() for r in rows if "$" not in r[1]) + (" " + " ".join(known)) * 300
+    restore = toxicity.Restorer(toxicity.character_model(documents(spark, [(1, text)])))
+    for hidden, word in (("a$$", "ass"), ("he11", "hell"), ("f00", "foo"), ("i d 1 o t", "idiot"), ("m 0 r 0 n", "moron"), ("1.d.1.0.t", "idiot"), ("a s s", "ass")):
+        assert restore(f"the {hidden} here") == f"the {word} here", hidden
+        raw = np.frombuffer(f"the {hidden} here".encode(), np.uint8)
+        assert len(toxicity.suspects(raw, np.array([0, len(raw)]))[0]), hidden
+    spaced = " ".join("idiot" * 40)
+    assert len(spaced) > 64 and restore(spaced).split() == restore(spaced).replace(" ", "").replace("idiot", "idiot ").split()
+    assert restore("in 1 2 3 and 10 20 30") == "in 1 2 3 and 10 20 30"
