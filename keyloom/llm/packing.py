@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Fillings kept at a node and nodes looked at before the incumbent stands.
 FILLINGS = 12
-NODES = 8_000
+NODES = 20_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -168,3 +168,24 @@ def test_segments():
     where = segments([((5, 3, 3), 4), ((3,), 2)])
     assert where[5].tolist() == [[0, 0, 0]]
     assert where[3].tolist() == [[0, 0, 5], [4, 0, 8], [8, 4, 0]]
+
+
+def test_packing_looks_at_all_the_nodes_it_may(monkeypatch):
+    """For these counts the lower bound is not reached and the search goes on to its limit."""
+    import random
+
+    from keyloom.llm import packing
+
+    looked, found = 0, packing.fillings
+
+    def counted(*a, **k):
+        nonlocal looked
+        looked += 1
+        return found(*a, **k)
+
+    monkeypatch.setattr(packing, "fillings", counted)
+    rng = random.Random(61)
+    capacity = rng.choice([100, 150, 200, 300])
+    least = rng.choice([capacity // 6, capacity // 5, capacity // 4])
+    packing.pack_counts({rng.randrange(least, capacity * 2 // 3): rng.randrange(1, 4) for _ in range(rng.randrange(15, 40))}, capacity)
+    assert looked >= 20_000
