@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.shipping import ship
 
-__all__ = ["SPACES", "SPACE_RUN", "delete", "drop_table", "let", "materialize", "partitions", "scratch", "ship", "table", "word_count", "word_list"]
+__all__ = ["SPACES", "SPACE_RUN", "delete", "drop_table", "lean", "let", "materialize", "partitions", "scratch", "ship", "table", "word_count", "word_list"]
 
 #: The separators of a word, for SQL functions: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -68,6 +71,27 @@ def drop_table(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def _release() -> None:
+    """Give freed memory back to the system, so that a worker that is kept for later tasks is small meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function on a task's batches, that gives freed memory back when the task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
-Each step sends neighbours to the least of a neighbourhood; sums are formed before the shuffle and nothing is
-gathered for one node, so a node with very many links is no burden.  Steps are written to the shared folder.
+Each step sends neighbours to the least of a neighbourhood; minima are formed before the shuffle, and the join that
+follows may be split by adaptive execution at a node with very many links.  Steps are written to the shared folder;
+they go on until every component is a star, which takes a number of steps that grows with the logarithm of its size.
 """
 
 from __future__ import annotations
@@ -11,29 +12,22 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import drop_table, materialize
 
-MAX_STEPS = 60
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b): component is the least node of its component."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
-    for _ in range(MAX_STEPS):
-        if _settled(links):
-            break
+    while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # every node now has only smaller neighbours
-        large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "small-star")
-        drop_table(large)
         drop_table(links)
         links = after
-    else:
-        raise RuntimeError("components did not settle")
+        if _settled(links):
+            break
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 

@@ -14,16 +14,19 @@ n - ceil(0.75 n) + 1, their prefix.
    them.  Pairs pass filters of size, position and a parity sketch (a bound of the symmetric difference), and the rest are
    verified on the whole sets.  What links makes components.
 4. Lists that still hold several components are gone through again, every pair across components passing the filters
-   first, the sketches too: twice to verify each set's likeliest partner outside its component, which joins what
+   first, the sketches too: once to verify each set's likeliest partner outside its component, which joins what
    belongs together, and once, with the components that result, all pairs that are left.  So each pair that shares a
    prefix shingle is rejected by a bound, verified or already connected: no link is lost, and a group of very many near copies
    costs about its size, not its square.
-5. Components of all verified links; copies (equal sets) take part once and get their class at the end.
+5. Components of all verified links; copies (equal sets) take part once and get their class at the end.  A set's node
+   begins with its least doc_id, so a component's least node names its least document.
 6. Links lie inside components, so all pairs of a component's sets are verified, in tiles of two blocks of sets, and
    counted or listed.  This is the square of a component's number of different sets; copies count by their number.
 
 Cases: null or empty texts have no set, n_shingles 0, and are components of their own; rows of equal doc_id are
-separate documents with that id; an empty table gives an empty result.
+separate documents with that id, repeated rows are copies of one another; a null doc_id comes last; a very long text
+is one set like others, held by one task; sets of equal likeness to another are taken by their hash; other columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,19 +38,19 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import materialize, partitions, ship, table
+from keyloom.llm.common import drop_table, lean, materialize, partitions, ship, table
 from keyloom.llm.components import components
-from keyloom.llm.kernels import LOWER, U64, mix64, shingle_sets, slabs, weighed_shingles, word_bounds, word_hashes
+from keyloom.llm.kernels import LOWER, U64, Lookup, mix64, shingle_sets, slabs, weighed_shingles, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Similarity in hundredths.
 LIKE = 75
 #: A stretch of documents for counting, in shingles; what is reported from it; the longest list of frequent shingles.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 REPORT_AT_LEAST = 4
 REPORT_SHARE = 1 / 2000
 MOST_FREQUENT = 200_000
@@ -57,14 +60,14 @@ MOST_WORDS = 50_000
 #: Bytes of the sketch that goes with a list's entry.
 LIST_SKETCH = 128
 #: Shingles of one batch of prefixes.
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Sets and shingles of one block of a component, on average, and shingles that a tile compares at once.
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 20
 COMPARED_AT_ONCE = 4096
 #: Pairs looked at and entries of lists held at once.
-PAIRS_AT_ONCE = 1 << 20
-ENTRIES_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 1 << 18
+ENTRIES_AT_ONCE = 50_000
 #: Documents to verify are picked by a broadcast of their ids up to this many (8 MB), beyond by a filter of 64-bit words (1 MB).
 BROADCAST_IDS = 1 << 20
 FILTER_WORDS = 1 << 17
@@ -103,29 +106,23 @@ class Order:
     """The order of shingles: (count if frequent, else 0; how common its words are; hash)."""
 
     def __init__(self, shingles: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray):
-        by = np.argsort(shingles)
-        self.shingles, self.counts = shingles[by], counts[by]
-        by = np.argsort(words)
-        self.words = words[by]
-        self.levels = (1 + np.floor(2 * np.log2(np.maximum(1, word_counts[by] / max(1, word_counts.min(initial=1))))).astype(np.int32)) if len(words) else np.zeros(0, dtype=np.int32)
+        self.counts = Lookup(shingles, counts)
+        self.levels = Lookup(words, 1 + np.floor(2 * np.log2(np.maximum(1, word_counts / max(1, word_counts.min(initial=1 << 62))))).astype(np.int32))
 
     def arrange(self, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Places of the shingles `own` (ascending) in order."""
-        count = np.zeros(len(own), dtype=np.int64)
-        if len(self.shingles):
-            at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
-            count = np.where(self.shingles[at] == own, self.counts[at], 0)
-        return np.lexsort((weight, count))  # stable: equal ones stay by hash
+        return np.argsort(self.counts(own) * 1024 + weight, kind="stable")  # five levels come to less; equal ones stay by hash
 
 
 def shingle_order(docs: DataFrame) -> Order:
     """The order that the documents suggest, from at most MOST_FREQUENT shingles and MOST_WORDS words."""
-    found = docs.select("text").mapInArrow(_frequent, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(lean(_frequent), "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
     found = materialize(found, "frequent")
     out = []
     for kind, most in ((_SHINGLE, MOST_FREQUENT), (_WORD, MOST_WORDS)):
         rows = found.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash").limit(most).toPandas()
         out += [rows["hash"].to_numpy(dtype=np.int64).astype(np.uint64), rows["n"].to_numpy(dtype=np.int64)]
+    drop_table(found)
     return Order(*out)
 
 
@@ -164,7 +161,7 @@ def _prefixes(n_shards: int, order: Order):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo, hi, data, offsets in slabs(batch.column(1)):
-                for doc_id, (own, weight) in zip(ids[lo:hi], weighed_shingles(data, offsets, SHINGLE, order.words, order.levels), strict=True):
+                for doc_id, (own, weight) in zip(ids[lo:hi], weighed_shingles(data, offsets, SHINGLE, order.levels), strict=True):
                     n = len(own)
                     if not n:
                         members.append((doc_id, None, None, 0, None))
@@ -179,7 +176,7 @@ def _prefixes(n_shards: int, order: Order):
                         group.append(g)
                         size.append(n)
                         total += len(prefix)
-                if total >= BATCH or len(members) >= 20_000:
+                if total >= BATCH or len(members) >= 10_000:
                     yield _out(members, _lists(n_shards, shingle, group, size))
                     members, shingle, group, size, total, seen = [], [], [], [], 0, set()
         if members:
@@ -208,7 +205,7 @@ def _lists(n_shards: int, shingle: list[np.ndarray], group: list[int], size: lis
     return out
 
 
-_OUT = "shard int, list binary, doc_id long, set binary, grp long, n long, sketch binary"
+_OUT = "shard int, list binary, doc_id long, digest binary, grp long, n long, sketch binary"
 
 
 def _out(members: list[tuple], lists: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -219,7 +216,7 @@ def _out(members: list[tuple], lists: list[tuple[int, bytes]]) -> pa.RecordBatch
     shards = [r[0] for r in lists] + [None] * m
     arrays = [pa.array(shards, pa.int32()), pa.array([r[1] for r in lists] + [None] * m, pa.binary())]
     arrays += [pa.concat_arrays([pa.nulls(k, t), pa.array(list(c), t)]) for c, t in zip(columns, types, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["shard", "list", "doc_id", "set", "grp", "n", "sketch"])
+    return pa.RecordBatch.from_arrays(arrays, names=["shard", "list", "doc_id", "digest", "grp", "n", "sketch"])
 
 
 _LISTED = "shingle long, grp long, n long, place int, least long"
@@ -387,7 +384,7 @@ def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _whole_sets(words: np.ndarray | None):
-    """Documents (those that the filter may hold) to (set, shingles), a set once for each task."""
+    """Documents (those that the filter may hold) to (digest, shingles), a set once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -400,7 +397,7 @@ def _whole_sets(words: np.ndarray | None):
                 raw = {xxhash.xxh3_128_digest(x): x for x in map(np.ndarray.tobytes, sets)}
                 raw = {k: x for k, x in raw.items() if k not in seen}
                 seen.update(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.binary()), pa.array(list(raw.values()), pa.binary())], names=["set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.binary()), pa.array(list(raw.values()), pa.binary())], names=["digest", "shingles"])
 
     return run
 
@@ -433,27 +430,30 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked pairs (a, b) of candidate pairs of sets; sets has set, doc_id, n, sketch, one row for each set."""
+    """The linked pairs (a, b) of candidate pairs of sets, in a table; sets has set, doc_id, n, sketch, one row for each set."""
     a = sets.select(F.col("set").alias("a"), F.col("doc_id").alias("a_doc"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     b = sets.select(F.col("set").alias("b"), F.col("doc_id").alias("b_doc"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_sketch", "b_sketch")
-    likely = materialize(likely.mapInArrow(_sketch_filter, "a binary, b binary, a_doc long, b_doc long"), "likely")
-    wanted = materialize(likely.select(F.col("a").alias("set"), F.col("a_doc").alias("doc_id")).unionAll(likely.select("b", "b_doc")).distinct(), "wanted")
-    whole = whole_sets(wanted, docs)
-    x, y = whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return likely.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary")
+    likely = materialize(likely.mapInArrow(lean(_sketch_filter), "a binary, b binary, a_doc long, b_doc long"), "likely")
+    whole = whole_sets(likely.select(F.col("a_doc").alias("doc_id")).unionAll(likely.select("b_doc")).distinct(), docs)
+    x, y = whole.select(F.col("digest").alias("x_digest"), F.col("shingles").alias("x")), whole.select(F.col("digest").alias("y_digest"), F.col("shingles").alias("y"))
+    pairs = likely.select("a", "b").join(x, digest_of(F.col("a")) == F.col("x_digest")).join(y, digest_of(F.col("b")) == F.col("y_digest"))
+    out = materialize(pairs.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a binary, b binary").distinct(), "linked-pairs")
+    for t in (likely, whole):
+        drop_table(t)
+    return out
 
 
 def whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, shingles) of the documents that wanted (set, doc_id) names and of others; a set may come several times."""
-    words = None
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-        docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """(digest, shingles) of the documents of the distinct ids `wanted` and of others; a set may come several times."""
+    words, wanted = None, materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("_id"))), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     else:
-        words = _document_filter(wanted.select("doc_id"))
-    whole = docs.select("doc_id", "text").mapInArrow(_whole_sets(words), "set binary, shingles binary")
-    return materialize(whole, "whole-sets")
+        words = _document_filter(wanted)
+    whole = materialize(docs.select("doc_id", "text").mapInArrow(lean(_whole_sets(words)), "digest binary, shingles binary"), "whole-sets")
+    drop_table(wanted)
+    return whole
 
 
 @F.pandas_udf(T.BinaryType())
@@ -469,34 +469,62 @@ def _mixed_lists(entries: DataFrame, placed: DataFrame) -> DataFrame:
     return entries.join(mixed, "shingle", "left_semi")
 
 
+_SIGN = -(1 << 63)
+
+
+def node(doc_id: Column, digest: Column) -> Column:
+    """A set's node: whether its least doc_id is null, that id, the set's digest; in the order of bytes."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).cast("long").bitwiseXOR(F.lit(_SIGN).cast("long"))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, digest)
+
+
+def digest_of(at: Column) -> Column:
+    return F.substring(at, 10, 16)
+
+
+def doc_id_of(at: Column) -> Column:
+    number = F.conv(F.hex(F.substring(at, 2, 8)), 16, 10).cast("decimal(20,0)") + F.lit(_SIGN).cast("decimal(20,0)")
+    return F.when(F.substring(at, 1, 1) == F.unhex(F.lit("00")), number.cast("long"))
+
+
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (doc_id, text): members (doc_id, set, n...) of every row, sets (set, doc_id, n, copies...), and the component of every set that links with another."""
+    """Of docs (doc_id, text): members (doc_id, digest, n...) of every row, sets (set, digest, doc_id, n, copies...; `set` is the node), and the component of every set that links with another."""
     spark = docs.sparkSession
     ship(spark)
     docs, n_shards = docs.select("doc_id", "text"), partitions(spark)
-    rows = materialize(docs.mapInArrow(_prefixes(n_shards, shingle_order(docs)), _OUT), "prefixes")
-    members = rows.where(F.col("list").isNull()).select("doc_id", "set", "grp", "n", "sketch")
+    rows = materialize(docs.mapInArrow(lean(_prefixes(n_shards, shingle_order(docs))), _OUT), "prefixes")
     lists = rows.where(F.col("list").isNotNull()).select("shard", "list").repartitionById(n_shards, "shard")
-    listed = materialize(lists.mapInArrow(_gather, _LISTED), "listed")
-    sets = members.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
-    sets = materialize(sets, "sets")
+    listed = materialize(lists.mapInArrow(lean(_gather), _LISTED), "listed")
+    members = materialize(rows.where(F.col("list").isNull()).select("doc_id", "digest", "grp", "n", "sketch"), "members")
+    drop_table(rows)
+    sets = members.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    sets = materialize(sets.withColumn("set", node(F.col("doc_id"), F.col("digest"))), "sets")
     heads = materialize(sets.groupBy("grp").agg(F.min("set").alias("head"), F.count("*").alias("k")), "heads")
     star = listed.where(F.col("grp") != F.col("least")).select("grp", "least").distinct()
     star = star.join(heads.select("grp", F.col("head").alias("a")), "grp").join(heads.select(F.col("grp").alias("least"), F.col("head").alias("b")), "least").select("a", "b")
     inner = sets.join(heads.where("k > 1"), "grp").where(F.col("set") != F.col("head")).select(F.col("head").alias("a"), F.col("set").alias("b"))
-    of = materialize(components(verified(star.unionAll(inner), sets, docs)), "components")
+    links = verified(star.unionAll(inner), sets, docs)
+    of = materialize(components(links), "components")
+    drop_table(links)
     # the members of a group share its prefix: a list of their own
     own = sets.join(heads.where("k > 1").select("grp"), "grp").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("place")).distinct()
     entries = listed.select("shingle", "grp", "n", "place").unionAll(own)
-    for likeliest in (True, True, False):
+    mixed = None
+    for likeliest in (True, False):
         placed = sets.join(of, F.col("set") == F.col("node"), "left").select("set", "grp", F.coalesce("component", "set").alias("component"), "sketch")
         entries = materialize(_mixed_lists(entries, placed), "mixed")
+        drop_table(listed if mixed is None else mixed)
+        mixed = entries
         wide = entries.join(placed.withColumn("sketch", _folded("sketch")), "grp").select("shingle", "component", "set", "n", "place", "sketch")
-        pairs = wide.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(_across(likeliest), "a binary, b binary").distinct()
-        more = materialize(verified(pairs, sets, docs), "across")
+        pairs = wide.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(lean(_across(likeliest)), "a binary, b binary").distinct()
+        more = verified(pairs, sets, docs)
         if not more.isEmpty():
             # what is known of components is a star each, and links may go on from there
-            of = materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+            before, of = of, materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+            drop_table(before)
+        drop_table(more)
+    drop_table(mixed)
+    drop_table(heads)
     return members, sets, of
 
 
@@ -546,13 +574,13 @@ def _tile(listed: bool):
 
 def _tiles(docs: DataFrame, sets: DataFrame, of: DataFrame):
     """All pairs of sets of one component, in tiles."""
-    linked = sets.join(of, F.col("set") == F.col("node")).select("component", "set", "doc_id", "n", "copies")
+    linked = sets.join(of, F.col("set") == F.col("node")).select("component", "set", "digest", "doc_id", "n", "copies")
     linked = materialize(linked, "linked")
-    whole = whole_sets(linked.select("set", "doc_id"), docs)
+    whole = whole_sets(linked.select("doc_id").distinct(), docs)
     blocks = linked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = linked.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    placed = placed.select("component", "set", "doc_id", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("beside"))
-    placed = placed.join(whole, "set").select("component", F.least("block", "beside").alias("lo"), F.greatest("block", "beside").alias("hi"), "block", "set", "doc_id", "copies", "shingles")
+    placed = placed.select("component", "set", "digest", "doc_id", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("beside"))
+    placed = placed.join(whole, "digest").select("component", F.least("block", "beside").alias("lo"), F.greatest("block", "beside").alias("hi"), "block", "set", "doc_id", "copies", "shingles")
     return placed.groupBy("component", "lo", "hi")
 
 
@@ -562,10 +590,9 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     members, sets, of = _classified(docs)
     counts = _tiles(docs, sets, of).applyInArrow(_tile(False), "set binary, n long").groupBy("set").agg(F.sum("n").alias("others"))
     of_sets = sets.join(of, F.col("set") == F.col("node"), "left").join(counts, "set", "left")
-    of_sets = of_sets.select(F.col("set").alias("of"), F.coalesce("component", "set").alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    of_set = members.join(of_sets, F.col("set") == F.col("of"), "left").select("doc_id", "n", "class", "n_links")
-    least = of_set.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_sets = of_sets.select(F.col("digest").alias("of"), doc_id_of(F.coalesce("component", "set")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = members.join(of_sets, F.col("digest") == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def linked_pairs(docs: DataFrame) -> DataFrame:
@@ -576,24 +603,19 @@ def linked_pairs(docs: DataFrame) -> DataFrame:
 
 
 def class_heads(docs: DataFrame) -> DataFrame:
-    """(doc_id, set) of each class with words: its least doc_id, null last, and of that one the least set."""
-    members, _, of = _classified(docs.select("doc_id", "text"))
-    rows = members.where(F.col("set").isNotNull()).join(of, F.col("set") == F.col("node"), "left")
-    rows = rows.groupBy(F.coalesce("component", "set").alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set")).alias("x"))
-    return rows.select("x.doc_id", "x.set")
+    """(head) of each class with words: the node of its least doc_id, null last, and of that one's least set."""
+    _, sets, of = _classified(docs.select("doc_id", "text"))
+    return sets.join(of, F.col("set") == F.col("node"), "left").where(F.coalesce("component", "set") == F.col("set")).select(F.col("set").alias("head"))
 
 
-def with_set(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Every row with the digest of its text's set, as class_heads() has it, in the column `name`."""
-    at = docs.columns.index(text)
+def set_digest(text: Column) -> Column:
+    """The digest of a text's set, as node() takes it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [xxhash.xxh3_128_digest(x.tobytes()) for _, _, data, offsets in slabs(batch.column(at)) for x in shingle_sets(data, offsets, SHINGLE)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, name])
+    @F.arrow_udf(T.BinaryType())
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(x.tobytes()) for _, _, data, offsets in slabs(texts) for x in shingle_sets(data, offsets, SHINGLE)], pa.binary())
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return digests(text)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,10 +78,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
+#: Words up to this many bytes are hashed eight bytes at a time, longer ones byte by byte.
+_SHORT = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    long = np.flatnonzero(lengths > _SHORT)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each position
+    with np.errstate(over="ignore"):
+        out = (eight[starts] & _FIRST[np.minimum(lengths, 8)]) * _PLACE[0]
+        for k in range(8, _SHORT, 8):
+            at = np.flatnonzero((lengths > k) & (lengths <= _SHORT))
+            if not len(at):
+                break
+            out[at] = (out[at] ^ (out[at] >> U64(29))) * _BASE + (eight[starts[at] + k] & _FIRST[np.minimum(lengths[at] - k, 8)]) * _PLACE[1]
+        out = mix64(out + lengths.astype(np.uint64) * _PLACE[2])
+    if len(long):
+        out[long] = _long_word_hashes(data, starts[long], ends[long])
+    return out
+
+
+def _long_word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
@@ -99,18 +120,42 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     return [x for x, _ in weighed_shingles(data, offsets, width)]
 
 
-def weighed_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, known: np.ndarray | None = None, level: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """shingle_sets() with each shingle's sum of word levels: level[i] for the word hash known[i] (ascending), 0 for others."""
+class Lookup:
+    """Numbers by 64-bit hash: a table of slots by leading bits, and a search for hashes whose slot several share."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.shift = U64(64 - bits)
+        slot = (self.keys >> self.shift).astype(np.int64)
+        self.crowded = np.bincount(slot, minlength=1 << bits) > 1
+        self.slot_key, self.slot_value = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=values.dtype)
+        self.slot_key[slot], self.slot_value[slot] = self.keys, self.values
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, 0 for others."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=self.values.dtype)
+        slot = (hashes >> self.shift).astype(np.int64)
+        same = self.slot_key[slot] == hashes
+        out = np.where(same, self.slot_value[slot], 0)
+        other = np.flatnonzero(~same & self.crowded[slot])
+        if len(other):
+            at = np.minimum(np.searchsorted(self.keys, hashes[other]), len(self.keys) - 1)
+            out[other] = np.where(self.keys[at] == hashes[other], self.values[at], 0)
+        return out
+
+
+def weighed_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, level: Lookup | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """shingle_sets() with each shingle's sum of word levels."""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets)
     words = word_hashes(data, starts, ends)
     n = max(0, len(words) - width + 1)
     weight = None
-    if known is not None:
-        own = np.zeros(len(words), dtype=np.int32)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-            own = np.where(known[at] == words, level[at], 0).astype(np.int32)
+    if level is not None:
+        own = level(words).astype(np.int32)
         weight = sum((own[j : j + n] for j in range(width)), np.zeros(n, dtype=np.int32))
     with np.errstate(over="ignore"):
         total = np.zeros(n, dtype=np.uint64)
@@ -119,11 +164,13 @@ def weighed_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, know
         total = mix64(total + U64(width))
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= width and weight is None:
-                out.append((np.unique(total[a : b - width + 1]), None))
-            elif b - a >= width:
-                x, i = np.unique(total[a : b - width + 1], return_index=True)
-                out.append((x, weight[a : b - width + 1][i]))
+            if b - a >= width:
+                x = total[a : b - width + 1]
+                order = None if weight is None else np.argsort(x)
+                x = np.sort(x) if order is None else x[order]
+                new = np.ones(len(x), dtype=bool)
+                np.not_equal(x[1:], x[:-1], out=new[1:])
+                out.append((x[new], None if order is None else weight[a : b - width + 1][order[new]]))
             elif b > a:
                 short = (words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + U64(b - a)
                 out.append((mix64(np.array([short], dtype=np.uint64)), np.zeros(1, dtype=np.int32)))
