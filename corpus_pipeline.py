@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import SPACES, materialize, table
-from keyloom.llm.jaccard_join import class_heads, with_set
+from keyloom.llm.jaccard_join import class_heads, node, set_digest
 from keyloom.llm.mixing import mixed_documents
 from keyloom.llm.packing import cut_pieces, pack
 from keyloom.llm.quality_classifier import THRESHOLD, score_quality
@@ -34,8 +34,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     blank = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)) == ""
-    heads = class_heads(docs).toDF("head_id", "head_set")
-    rows = with_set(own.where(~blank), text, "set").join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & (F.col("set") == F.col("head_set")), "left_semi")
+    rows = own.where(~blank).withColumn("set", node(F.col(doc_id), set_digest(F.col(text)))).join(class_heads(docs), F.col("set") == F.col("head"), "left_semi")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("set").orderBy(text))).where("nth = 1").drop("set", "nth")
     return rows.unionAll(own.where(blank)).toDF(*docs.columns)
 
