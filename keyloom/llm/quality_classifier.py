@@ -12,8 +12,10 @@ Fits are made on the driver from the sparse views of at most MOST_LABELLED label
 id and a seed, and of the rows handed over, ROUNDS * HAND_OVER a view at most; rows whose crc32(doc_id as text) mod 4
 is 2 are not learned from.  All documents are scored.
 
-Cases: null texts are empty; null lang and source are values like others; without labels of both kinds all documents
-score 1 and are kept; equal ids are scored each by its row; an empty table gives an empty result.
+Cases: null texts are empty and scored by what their metadata says; null lang and source are values like others;
+without labels of both kinds all documents score 1 and are kept; equal ids and repeated rows are scored each by its
+row; equally confident documents are handed over by their key; a very long text is viewed as a whole, in one task;
+columns besides may have any name, the scores' too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import drop_table, materialize, ship, table
+from keyloom.llm.common import drop_table, lean, materialize, ship, table
 from keyloom.llm.kernels import U64, mix64, slabs, word_bounds, word_hashes
 
 MOST_LABELLED = 12_000
@@ -322,7 +324,7 @@ class StoredPool:
 
     def confident(self, weights: list[np.ndarray], share: float, given: list[dict]) -> list[dict]:
         run = _most_confident(weights, share, [set(g) for g in given])
-        found = materialize(self.stored.mapInArrow(run, "view int, label int, sure double, key binary, content binary, metadata binary"), "confident")
+        found = materialize(self.stored.mapInArrow(lean(run), "view int, label int, sure double, key binary, content binary, metadata binary"), "confident")
         out: list[dict] = [{}, {}]
         for v in (0, 1):
             for label, n in wanted(share).items():
@@ -378,7 +380,7 @@ def unlabelled_views(docs: DataFrame, labels: DataFrame) -> DataFrame:
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     rows = docs.where(F.coalesce(crc, F.lit(-1)) != HELD_OUT).select("doc_id", "text", "lang", "source")
-    return rows.mapInArrow(_views_of(1), "doc_id long, content binary, metadata binary").join(known, "doc_id", "left_anti")
+    return rows.mapInArrow(lean(_views_of(1)), "doc_id long, content binary, metadata binary").join(known, "doc_id", "left_anti")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> CoTrained | None:
@@ -389,7 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> CoTr
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc != HELD_OUT)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = known.orderBy(order, "doc_id").limit(most)
     rows = docs.select("doc_id", F.struct("text", "lang", "source").alias("x")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
-    rows = rows.select("doc_id", "quality", "x.text", "x.lang", "x.source").mapInArrow(_views_of(2), "doc_id long, quality int, content binary, metadata binary").toArrow().sort_by("doc_id")
+    rows = rows.select("doc_id", "quality", "x.text", "x.lang", "x.source").mapInArrow(lean(_views_of(2)), "doc_id long, quality int, content binary, metadata binary").toArrow().sort_by("doc_id")
     y = (rows.column(1).to_numpy() > 0).astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -410,14 +412,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> CoTr
 _SCORES = ("score", "content_score", "metadata_score")
 
 
-def _score(model: CoTrained | None, columns: int, text: int, lang: int, source: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.ones((3, batch.num_rows))
+def _score(model: CoTrained | None):
+    """A column function of (text, lang, source): the scores.  The other columns of a row stay in the JVM."""
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _SCORES]))
+    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, lang, source in parts:
+            out = np.ones((3, len(text)))
             if model is not None:
-                for lo, hi, c, m in views(batch.column(text), batch.column(lang).to_pylist(), batch.column(source).to_pylist()):
+                for lo, hi, c, m in views(text, lang.to_pylist(), source.to_pylist()):
                     out[:, lo:hi] = model.score(c, m)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *[pa.array(x) for x in out]], names=[*batch.schema.names[:columns], *_SCORES])
+            yield pa.StructArray.from_arrays([pa.array(x) for x in out], names=list(_SCORES))
 
     return run
 
@@ -431,11 +436,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("
     model = learn(docs, labels)
     read = [*keep, *[c for c in ("text", "lang", "source") if c not in keep]]
     own = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(read)])
-    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(c, T.DoubleType()) for c in _SCORES])
-    scored = own.mapInArrow(_score(model, len(keep), *[read.index(c) for c in ("text", "lang", "source")]), schema)
+    own = own.withColumn("_scores", _score(model)(*[F.col(f"_k{read.index(c)}") for c in ("text", "lang", "source")]))
+    names = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
     if at_least is not None:
-        scored = scored.where(F.col("score") >= at_least).drop(*_SCORES)
-    return scored.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+        return own.where(F.col("_scores.score") >= at_least).select(*names)
+    return own.select(*names, *[F.col(f"_scores.{c}").alias(c) for c in _SCORES])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
