@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.shipping import ship
+from keyloom import shipping
 
 __all__ = ["SPACES", "SPACE_RUN", "delete", "drop_table", "lean", "let", "materialize", "partitions", "scratch", "ship", "table", "word_count", "word_list"]
 
@@ -20,10 +20,21 @@ __all__ = ["SPACES", "SPACE_RUN", "delete", "drop_table", "lean", "let", "materi
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session doesn't set them.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Scratch folders by application, where the session names none.
 _own: dict[str, str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """The package for executors, and batches of few bytes: with whole texts 10,000 rows may be any size."""
+    shipping.ship(spark)
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCHES):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
