@@ -16,23 +16,25 @@ in the shard of its anchor's hash, and a shard's suffix array over the windows i
 4. The ranges meet their documents, are joined and cut out.
 
 Order of documents is by doc_id, null first.  Rows of equal doc_id are one document's rows: neither removes from
-the other.  Null or empty texts have nothing to remove; so have texts under `width` bytes.  Hashes decide equality
-of runs (88 bits of two hashes) and bytes decide it within suffix arrays.  An empty table gives an empty result.
+the other; a doc_id of -2^63 counts as null.  Null or empty texts have nothing to remove; so have texts under `width`
+bytes.  Of equal texts the one of least doc_id stays whole.  A document of any length is scanned in pieces.  Two
+64-bit hashes decide equality of runs and bytes decide it within suffix arrays.  Columns besides may have any name.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import materialize, partitions, ship, table
+from keyloom.llm.common import lean, materialize, partitions, ship, table
 from keyloom.llm.kernels import _BASE, _BYTE, U64, gram_hashes, mix64, slabs, sliding_min
 from keyloom.llm.suffix_array import NO_LEFT, SuffixArray, repeat_groups
 
@@ -40,20 +42,39 @@ WIDTH = 50
 GRAM = 16
 #: Bytes of documents in one block.
 BLOCK_BYTES = 1 << 23
-_PLACE_BITS = 28
-_HASH_BITS = 48
+#: Bytes that are scanned at once, a longer document in pieces; a place in a piece has _PLACE_BITS bits.
+PIECE = 1 << 22
+_PLACE_BITS = 24
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 NULL_ID = -(1 << 63)
 
 
+def text_key(text: bytes | np.ndarray) -> int:
+    """What tells the texts of equal doc_ids apart."""
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, run hash, first window, windows) of every run of a slab; places count from the document's start."""
+    """(document, anchor hash, run hash, first window, windows) of every run of a slab; places count from the document's start.
+
+    A slab of one document longer than PIECE is scanned in pieces; a run ends where a piece does.
+    """
+    if len(data) <= PIECE or len(offsets) > 2:
+        return _runs_of(data, offsets, width)
+    parts = []
+    for at in range(0, len(data) - width + 1, PIECE):
+        piece = data[at : at + PIECE + width - 1]
+        document, gram, run, first, count = _runs_of(piece, np.array([0, len(piece)]), width)
+        parts.append((document, gram, run, first + at, count))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _runs_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     span = width - GRAM + 1
     empty = np.zeros(0, dtype=np.int64)
     if len(data) < width:
         return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
-    if len(data) >= 1 << _PLACE_BITS:
-        raise ValueError("a document of 256 MB or more must be split before")
     gram = gram_hashes(data, GRAM)
     low = U64((1 << _PLACE_BITS) - 1)
     least = sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), span)
@@ -79,16 +100,15 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
 def _anchors(n_shards: int, width: int):
     """Blocks of documents to rows (shard, block): runs for the shard of their anchor, and runs decided within the block."""
 
-    def send(ids: np.ndarray, crcs: np.ndarray, parts: list[tuple[np.ndarray, ...]], nth: int) -> Iterator[tuple[int, bytes]]:
+    def send(ids: np.ndarray, texts: np.ndarray, parts: list[tuple[np.ndarray, ...]], nth: int) -> Iterator[tuple[int, bytes]]:
         doc, gram, run, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(doc):
             return
-        gram >>= U64(64 - _HASH_BITS)
-        run >>= U64(24)
         shard = (mix64(gram.copy()) % U64(n_shards)).astype(np.int64)
         both = mix64(gram + mix64(run.copy()))
         order = np.argsort(both)
-        new = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+        g, r = gram[order], run[order]
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])]))
         owner = ids[doc[order]]
         decided = np.zeros(len(doc), dtype=bool)
         decided[order] = owner > np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(order))))
@@ -99,23 +119,23 @@ def _anchors(n_shards: int, width: int):
             at = order[cut[s] : cut[s + 1]]
             if len(at):
                 there, local = np.unique(doc[at], return_inverse=True)
-                yield s, _block(ids[there], crcs[there], local, gram[at], run[at], first[at], count[at], decided[at])
+                yield s, _block(ids[there], texts[there], local, gram[at], run[at], first[at], count[at], decided[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nth, held, ids, crcs, parts, size = 0, 0, [], [], [], 0
+        nth, held, ids, texts, parts, size = 0, 0, [], [], [], 0
         for batch in batches:
             key = np.array([NULL_ID if k is None else k for k in batch.column(0).to_pylist()], dtype=np.int64)
             for lo, hi, data, offsets in slabs(batch.column(1)):
                 found = runs_of(data, offsets, width)
                 ids.append(key[lo:hi])
-                crcs.append(np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.uint32))
+                texts.append(np.array([text_key(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.int64))
                 parts.append((found[0] + held, *found[1:]))
                 held, size = held + hi - lo, size + len(data)
                 if size >= BLOCK_BYTES:
-                    yield _rows(send(np.concatenate(ids), np.concatenate(crcs), parts, nth))
-                    nth, held, ids, crcs, parts, size = nth + held, 0, [], [], [], 0
+                    yield _rows(send(np.concatenate(ids), np.concatenate(texts), parts, nth))
+                    nth, held, ids, texts, parts, size = nth + held, 0, [], [], [], 0
         if parts:
-            yield _rows(send(np.concatenate(ids), np.concatenate(crcs), parts, nth))
+            yield _rows(send(np.concatenate(ids), np.concatenate(texts), parts, nth))
 
     return run
 
@@ -125,36 +145,29 @@ def _rows(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
 
-def _block(ids, crcs, local, gram, run, first, count, decided) -> bytes:
+def _block(ids, texts, local, gram, run, first, count, decided) -> bytes:
     low = zstandard.ZstdCompressor(level=1).compress(
-        ids.astype("<i8").tobytes() + crcs.astype("<u4").tobytes() + local.astype("<u4").tobytes() + first.astype("<u4").tobytes() + count.astype("u1").tobytes() + np.packbits(decided).tobytes()
+        ids.astype("<i8").tobytes() + texts.astype("<i8").tobytes() + local.astype("<u4").tobytes() + first.astype("<u4").tobytes() + count.astype("u1").tobytes() + np.packbits(decided).tobytes()
     )
-    # hashes do not compress: 6 and 5 of their bytes as they are
-    plain = gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + run.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    plain = gram.astype("<u8").tobytes() + run.astype("<u8").tobytes()  # hashes do not compress
     return len(ids).to_bytes(4, "little") + len(gram).to_bytes(4, "little") + plain + low
 
 
 def _unblock(block: bytes) -> tuple[np.ndarray, ...]:
     d, n = int.from_bytes(block[:4], "little"), int.from_bytes(block[4:8], "little")
-
-    def whole(at: int, width: int) -> np.ndarray:
-        out = np.zeros((n, 8), dtype=np.uint8)
-        out[:, :width] = np.frombuffer(block, np.uint8, n * width, at).reshape(n, width)
-        return out.view("<u8").ravel()
-
-    gram, run = whole(8, 6), whole(8 + 6 * n, 5)
-    low = zstandard.ZstdDecompressor().decompress(block[8 + 11 * n :])
-    ids, crcs = np.frombuffer(low, "<i8", d), np.frombuffer(low, "<u4", d, 8 * d)
-    at = 12 * d
+    gram, run = np.frombuffer(block, "<u8", n, 8), np.frombuffer(block, "<u8", n, 8 + 8 * n)
+    low = zstandard.ZstdDecompressor().decompress(block[8 + 16 * n :])
+    ids, texts = np.frombuffer(low, "<i8", d), np.frombuffer(low, "<i8", d, 8 * d)
+    at = 16 * d
     local, first = np.frombuffer(low, "<u4", n, at), np.frombuffer(low, "<u4", n, at + 4 * n)
     count = np.frombuffer(low, "u1", n, at + 8 * n)
     decided = np.unpackbits(np.frombuffer(low, np.uint8, -1, at + 9 * n), count=n).astype(bool)
-    return ids[local], crcs[local], gram, run, first.astype(np.int64), count.astype(np.int64), decided
+    return ids[local], texts[local], gram, run, first.astype(np.int64), count.astype(np.int64), decided
 
 
-_TEXTS = [T.StructField("doc", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("packed", T.BinaryType())]
-_COUNTS = [T.StructField(n, T.LongType()) for n in ("doc_id", "crc", "n_bytes", "n_removed", "n_spans")]
-_RUNS = "doc long, crc long, first long, windows int, leaf long, gram long"
+_TEXTS = [T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("packed", T.BinaryType())]
+_COUNTS = [T.StructField(n, T.LongType()) for n in ("doc_id", "text_key", "n_bytes", "n_removed", "n_spans")]
+_RUNS = "doc long, text_key long, first long, windows int, leaf long, gram long"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +175,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [_unblock(b) for batch in batches for b in batch.column(1).to_pylist()]
     if not parts:
         return
-    ids, crc, gram, run, first, count, decided = (np.concatenate(x) for x in zip(*parts, strict=True))
-    yield _run_rows(ids[decided], crc[decided], first[decided], count[decided], None, None)
+    ids, key, gram, run, first, count, decided = (np.concatenate(x) for x in zip(*parts, strict=True))
+    yield _run_rows(ids[decided], key[decided], first[decided], count[decided], None, None)
     at = np.flatnonzero(~decided)
     at = at[np.lexsort((run[at], gram[at]))]
     if not len(at):
@@ -173,29 +186,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new_leaf = new_gram | np.concatenate([[True], r[1:] != r[:-1]])
     leaf = np.cumsum(new_leaf) - 1
     later = i > np.minimum.reduceat(i, np.flatnonzero(new_leaf))[leaf]
-    yield _run_rows(i[later], crc[at][later], first[at][later], count[at][later], None, None)
+    yield _run_rows(i[later], key[at][later], first[at][later], count[at][later], None, None)
     group = np.cumsum(new_gram) - 1
     leaves = np.bincount(group[new_leaf])
     start = np.flatnonzero(new_gram)
     several = (leaves > 1) & (np.minimum.reduceat(i, start) < np.maximum.reduceat(i, start))
     on = ~later & several[group]
-    yield _run_rows(i[on], crc[at][on], first[at][on], count[at][on], r[on], g[on])
+    yield _run_rows(i[on], key[at][on], first[at][on], count[at][on], r[on], g[on])
 
 
-def _run_rows(doc, crc, first, windows, leaf, gram) -> pa.RecordBatch:
+def _run_rows(doc, key, first, windows, leaf, gram) -> pa.RecordBatch:
     n = len(doc)
-    arrays = [pa.array(doc), pa.array(crc.astype(np.int64)), pa.array(first), pa.array(windows.astype(np.int32))]
+    arrays = [pa.array(doc), pa.array(key.astype(np.int64)), pa.array(first), pa.array(windows.astype(np.int32))]
     arrays += [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (leaf, gram)]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc", "crc", "first", "windows", "leaf", "gram"])
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "first", "windows", "leaf", "gram"])
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, crc, packed, other columns): the text's bytes compressed, for the shuffle."""
+    """(doc, text_key, packed, other columns): the text's bytes compressed, for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
         doc = [NULL_ID if k is None else k for k in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary()), *batch.columns[2:]], names=["doc", "crc", "packed", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([text_key(x) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary()), *batch.columns[2:]], names=["doc", "text_key", "packed", *batch.schema.names[2:]])
 
 
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -219,8 +232,8 @@ def _fetch(n_shards: int, width: int):
             begin = np.cumsum([0, *map(len, texts)])[:-1]
             data, at = np.frombuffer(b"".join(texts), np.uint8), begin[row] + first
             left = np.where(first > 0, data[np.maximum(at - 1, 0)], NO_LEFT).astype(np.uint16)
-            doc, crc = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            held.append((doc, crc, first, windows, left, gram, _gather(data, at, windows + width - 1)))
+            doc, key = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            held.append((doc, key, first, windows, left, gram, _gather(data, at, windows + width - 1)))
             size += len(held[-1][-1])
             if size > BLOCK_BYTES:
                 yield _rows(_leaves(held, n_shards, width))
@@ -232,7 +245,7 @@ def _fetch(n_shards: int, width: int):
 
 
 #: What a block of leaves holds of each.
-_LEAF = [("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"), ("windows", "u1"), ("left", "<u2"), ("gram", "<u8")]
+_LEAF = [("doc", "<i8"), ("text_key", "<i8"), ("first", "<u4"), ("windows", "u1"), ("left", "<u2"), ("gram", "<u8")]
 
 
 def _leaves(held: list[tuple], n_shards: int, width: int) -> Iterator[tuple[int, bytes]]:
@@ -260,7 +273,7 @@ def _unpack_leaves(block: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _scan(width: int):
-    """A shard's leaves to the repeats found by its suffix array: rows (doc, crc, begin, end)."""
+    """A shard's leaves to the repeats found by its suffix array: rows (doc, text_key, begin, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [_unpack_leaves(b) for batch in batches for b in batch.column(1).to_pylist()]
@@ -290,7 +303,7 @@ def _scan(width: int):
 SLICE = 1 << 17
 
 
-def _repeats(doc, crc, first, windows, left, data, width) -> pa.RecordBatch:
+def _repeats(doc, key, first, windows, left, data, width) -> pa.RecordBatch:
     """Repeats among leaves; data has their bytes end to end."""
     end = np.cumsum(windows + width - 1)
     start = end - (windows + width - 1)
@@ -299,9 +312,9 @@ def _repeats(doc, crc, first, windows, left, data, width) -> pa.RecordBatch:
     before = np.where(at > 0, data[np.maximum(start[leaf] + at - 1, 0)].astype(np.int64), NO_LEFT)
     # Windows of equal bytes share a prefix of `width`.  Leave out those that no other leaf has, those of one document
     # only and those that can't be extended to the left in more than one way: no part of them can be a maximal repeat.
-    key = gram_hashes(data, width)[start[leaf] + at]
-    order = np.argsort(key)
-    new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    window = gram_hashes(data, width)[start[leaf] + at]
+    order = np.argsort(window)
+    new = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]]))
 
     def differs(x: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
@@ -319,11 +332,11 @@ def _repeats(doc, crc, first, windows, left, data, width) -> pa.RecordBatch:
         longest[a : b + 1][hit] = length
     hit = longest > 0
     begin = first[sa.leaf[hit]] + sa.at[hit]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[hit], crc[sa.leaf[hit]], begin, begin + longest[hit])], names=["doc", "crc", "begin", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[hit], key[sa.leaf[hit]], begin, begin + longest[hit])], names=["doc", "text_key", "begin", "end"])
 
 
 def repeat_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): texts (doc, crc, packed, other columns of docs as they are) and the ranges to remove (doc, crc, begin, end), which may overlap.
+    """(texts, ranges): texts (doc, text_key, packed, other columns of docs as they are) and the ranges to remove (doc, text_key, begin, end), which may overlap.
 
     docs has doc_id and text first.
     """
@@ -331,14 +344,14 @@ def repeat_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     ship(spark)
     n_shards = 2 * partitions(spark)  # a task holds the runs of its shard
     others = docs.schema.fields[2:]
-    blocks = docs.select("doc_id", "text").mapInArrow(_anchors(n_shards, width), "shard int, block binary").repartitionById(n_shards, "shard")
-    runs = materialize(blocks.mapInArrow(_merge, _RUNS), "runs")
-    texts = docs.mapInArrow(_squeeze, T.StructType([*_TEXTS, *others]))
-    wanted = runs.where(F.col("leaf").isNotNull()).groupBy("doc", "crc").agg(F.collect_list(F.struct("first", "windows", "gram")).alias("wanted"))
+    blocks = docs.select("doc_id", "text").mapInArrow(lean(_anchors(n_shards, width)), "shard int, block binary").repartitionById(n_shards, "shard")
+    runs = materialize(blocks.mapInArrow(lean(_merge), _RUNS), "runs")
+    texts = docs.mapInArrow(lean(_squeeze), T.StructType([*_TEXTS, *others]))
+    wanted = runs.where(F.col("leaf").isNotNull()).groupBy("doc", "text_key").agg(F.collect_list(F.struct("first", "windows", "gram")).alias("wanted"))
     # all columns are read here too, so that both joins can share one shuffle of the texts
-    leaves = texts.join(wanted, ["doc", "crc"]).select("doc", "crc", "packed", "wanted", *[f.name for f in others]).mapInArrow(_fetch(n_shards, width), "shard int, block binary")
-    found = leaves.repartitionById(n_shards, "shard").mapInArrow(_scan(width), "doc long, crc long, begin long, end long")
-    full = runs.where(F.col("leaf").isNull()).select("doc", "crc", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (width - 1)).alias("end"))
+    leaves = texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "packed", "wanted", *[f.name for f in others]).mapInArrow(lean(_fetch(n_shards, width)), "shard int, block binary")
+    found = leaves.repartitionById(n_shards, "shard").mapInArrow(lean(_scan(width)), "doc long, text_key long, begin long, end long")
+    full = runs.where(F.col("leaf").isNull()).select("doc", "text_key", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (width - 1)).alias("end"))
     return texts, full.unionByName(found)
 
 
@@ -351,7 +364,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        docs, crcs, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        docs, text_keys, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for packed, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             text = unpack(packed)
             spans = join_ranges([(r["begin"], r["end"]) for r in ranges or ()])
@@ -363,8 +376,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(text), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None if d == NULL_ID else d for d in docs], pa.int64()), pa.array(crcs, pa.int64()), *[pa.array(list(c), pa.int64()) for c in columns[:3]], pa.array(list(columns[3]), pa.binary()), *batch.columns[4:]],
-            names=["doc_id", "crc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[4:]],
+            [pa.array([None if d == NULL_ID else d for d in docs], pa.int64()), pa.array(text_keys, pa.int64()), *[pa.array(list(c), pa.int64()) for c in columns[:3]], pa.array(list(columns[3]), pa.binary()), *batch.columns[4:]],
+            names=["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[4:]],
         )
 
 
@@ -381,17 +394,17 @@ def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """doc_id, crc (of the text's bytes), n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs.
+    """doc_id, text_key (of the text's bytes), n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs.
 
     Columns `carry` of docs follow as _c0, _c1, ...  With `as_text` kept is text.
     """
     names = [f"_c{i}" for i in range(len(carry))]
     docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
     texts, ranges = repeat_ranges(docs, width)
-    ranges = ranges.groupBy("doc", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    joined = texts.join(ranges, ["doc", "crc"], "left").select("doc", "crc", "packed", "ranges", *names)
+    ranges = ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    joined = texts.join(ranges, ["doc", "text_key"], "left").select("doc", "text_key", "packed", "ranges", *names)
     kept = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
-    return joined.mapInArrow(_cut_texts if as_text else _cut, T.StructType([*_COUNTS, kept, *docs.schema.fields[2:]]))
+    return joined.mapInArrow(lean(_cut_texts if as_text else _cut), T.StructType([*_COUNTS, kept, *docs.schema.fields[2:]]))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from llm_helpers import documents
 from pyspark.sql import functions as F
 
+from keyloom.llm import repeats
 from keyloom.llm.kernels import gram_hashes, slabs, sliding_min
 from keyloom.llm.repeats import join_ranges, remove_repeats, runs_of
 from keyloom.llm.suffix_array import NO_LEFT, SuffixArray, intervals, repeat_groups
@@ -113,6 +114,20 @@ def test_each_window_has_one_run():
     assert got == [(d, p) for d in range(4) for p in range(offsets[d + 1] - offsets[d] - 49)]
 
 
+def test_long_documents_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef ") for _ in range(5000))
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 5000])
+    whole = runs_of(data, offsets)
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    pieces = runs_of(data, offsets)
+    windows = [sorted((f + j, g) for _, g, _, f, c in zip(*(x.tolist() for x in found), strict=True) for j in range(c)) for found in (whole, pieces)]
+    assert windows[0] == windows[1] and [p for p, _ in windows[0]] == list(range(4951))
+    long = "x" * (1 << 19) + text * 20
+    rows = [(1, text[1000:3000]), (2, long), (3, text), (4, long)]
+    assert result(remove_repeats(documents(spark, rows))) == brute(rows)
+
+
 def test_join_ranges():
     assert join_ranges([(5, 9), (0, 3), (3, 4), (8, 12), (20, 21)]) == [(0, 4), (5, 12), (20, 21)]
     assert join_ranges([]) == []
