@@ -8,8 +8,9 @@ all of them, and a seeded run of blocks once more.  What a document gives follow
 nothing is listed block by block and a shard is the largest thing one task orders.
 
 Cases: null text has size 0 and gives 0; a source of size 0 has target 0; null is a source like others and the
-last; documents with the same id are told apart by size and text, and equal rows share one result; an empty
-table gives an empty result.
+last; rows of the same id are told apart by source and text, and equal rows have places of their own, so one of them
+may be taken once more than another; equal quotients go to the source or shard that comes first; a text of any length
+lies whole in one shard; columns besides keep their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import materialize, ship, table, word_count
+from keyloom.llm.common import lean, materialize, ship, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -180,16 +181,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, each part of a document as a row with that part's text (and n_chars)."""
     names = [f"_k{i}" for i in range(len(docs.columns))]
     at = {c: n for c, n in zip(docs.columns, names, strict=True)}
-    taken = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), "repeats", "once_more_from", "run", "wrapped")
-    # equal rows are told apart by number
-    nth = F.row_number().over(Window.partitionBy("_doc", "_text_key").orderBy(F.lit(1)))
-    own = docs.toDF(*names).withColumns({"_doc": F.col(at["doc_id"]), "_text_key": F.xxhash64(at["text"])}).withColumn("_nth", nth)
-    a, b = own.alias("a"), taken.withColumn("_nth", nth).alias("b")
-    joined = a.join(b, F.col("a._doc").eqNullSafe(F.col("b._doc")) & (F.col("a._text_key") == F.col("b._text_key")) & (F.col("a._nth") == F.col("b._nth")))
+    taken = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("text_key").alias("_text_key"), "repeats", "once_more_from", "run", "wrapped")
+    # rows of one id, source and text are told apart by number, the same on every run
+    same = Window.partitionBy("_doc", "_source", "_text_key")
+    own = docs.toDF(*names).withColumns({"_doc": F.col(at["doc_id"]), "_source": F.col(at["source"]), "_text_key": F.xxhash64(at["text"])})
+    a = own.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64(*names)))).alias("a")
+    b = taken.withColumn("_nth", F.row_number().over(same.orderBy("repeats", "run", "wrapped", "once_more_from"))).alias("b")
+    joined = a.join(b, F.col("a._doc").eqNullSafe(F.col("b._doc")) & F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._text_key") == F.col("b._text_key")) & (F.col("a._nth") == F.col("b._nth")))
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
     text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     dealt = joined.select(*[f"a.{n}" for n in names], "b.repeats", "b.once_more_from", "b.run", "b.wrapped")
-    return dealt.mapInArrow(_deal(len(names), text, n_chars), schema).toDF(*docs.columns)
+    return dealt.mapInArrow(lean(_deal(len(names), text, n_chars)), schema).toDF(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

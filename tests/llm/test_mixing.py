@@ -86,6 +86,19 @@ def test_mixed_documents(spark, corpus, odd_texts):
     assert +words == +expected
 
 
+def test_mixed_rows_of_one_id_in_two_sources(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text, "en", "a"), (1, text, "de", "a"), (1, text, "en", "b"), (1, "other " * 300, "en", "b"), (None, text, "en", None), (2, None, "en", "a")]
+    docs = documents(spark, rows)
+    words, expected = Counter(), Counter()
+    for r in mixed_documents(docs).collect():
+        assert (r.doc_id, r.lang, r.source) in {(d, la, s) for d, _, la, s in rows} and r._k0 == r._nth == r.words == "x"
+        words[r.doc_id, r.source] += size(r.text)
+    for r in mix(docs).collect():
+        expected[r.doc_id, r.source] += r.taken
+    assert +words == +expected
+
+
 def test_empty(spark):
     none = documents(spark, [(1, "a")]).where("false")
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
