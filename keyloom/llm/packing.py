@@ -8,9 +8,14 @@ whose waste already reaches what the incumbent allows, and stops at the lower bo
 segments (length, ranks) -> (sequence, offset), and each piece finds its place by its rank among the pieces of
 its length.
 
+By itself the search has bounds, for it may take any time: NODES nodes, at each FILLINGS fillings, each used as often as
+the counts allow.  pack_counts(exact=True) has none.
+
 Only documents longer than the capacity are cut; their first piece is the short one.
 
-Cases: a null or empty text is the end id alone; equal rows are separate documents; an empty table packs to nothing.
+Cases: a null or empty text is the end id alone; equal rows are separate documents; pieces of one length take their
+places in the order of doc_id, piece and start; a very long text is encoded whole, in one task; columns besides, of any
+name, are not read; an empty table packs to nothing.
 """
 
 from __future__ import annotations
@@ -25,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, partitions, ship, table
+from keyloom.llm.common import lean, materialize, partitions, ship, table
 from keyloom.llm.tokens import default_path, encoder, in_lots
 
 CAPACITY = 2048
 END_ID = 0
 #: Fillings kept at a node and nodes looked at before the incumbent stands.
 FILLINGS = 12
+STEPS = 400
 NODES = 20_000
 
 
@@ -65,8 +71,11 @@ def _give(left: dict[int, int], use: dict[int, int], times: int) -> None:
         left[n] = left.get(n, 0) + k * times
 
 
-def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` by the pieces left (lengths descending), the least waste first, then the fewest pieces."""
+def fillings(lengths: list[int], left: dict[int, int], room: int, most: int | None = FILLINGS) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` by the pieces left (lengths descending), the least waste first, then the fewest pieces.
+
+    At most `most` of them, of those that STEPS steps find; all with None.
+    """
     if room in left:
         return [(room,)]
     found: list[tuple[int, ...]] = []
@@ -76,12 +85,12 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FI
     def extend(at: int, rest: int, chosen: tuple[int, ...]) -> bool:
         nonlocal steps
         steps += 1
-        if rest < small or steps > 400:
+        if rest < small or (most and steps > STEPS):
             found.append(chosen)
-            return rest == 0 or steps > 400
+            return bool(most) and (rest == 0 or steps > STEPS)
         if rest in left and left[rest] > chosen.count(rest) and (not chosen or rest <= chosen[-1]):
             found.append((*chosen, rest))
-            return True
+            return bool(most)
         fits = False
         lo = at
         while lo < len(lengths) and lengths[lo] > rest:
@@ -90,9 +99,9 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FI
             n = lengths[i]
             if left[n] > chosen.count(n):
                 fits = True
-                if extend(i, rest - n, (*chosen, n)) and len(found) >= 1 and sum(found[-1]) == room and len(found) >= most // 2:
+                if extend(i, rest - n, (*chosen, n)) and most and len(found) >= 1 and sum(found[-1]) == room and len(found) >= most // 2:
                     return True
-                if len(found) >= 4 * most:
+                if most and len(found) >= 4 * most:
                     return True
         if not fits:
             found.append(chosen)
@@ -104,7 +113,7 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FI
     for x in found:
         if not any(_covers(y, x) for y in kept):
             kept.append(x)
-        if len(kept) == most:
+        if most and len(kept) == most:
             break
     return kept or [()]
 
@@ -121,8 +130,11 @@ def _covers(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     return True
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used, as few bins as the search finds."""
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, exact: bool = False) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, as few bins as the search finds.
+
+    `exact` searches to the end, with all undominated fillings used any number of times: as few bins as there can be.
+    """
     counts = {int(n): int(k) for n, k in counts.items() if k}
     if any(n > capacity or n <= 0 for n in counts):
         raise ValueError("a piece must have 1 to `capacity` tokens")
@@ -143,23 +155,24 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         spent += 1
         top = max(left)
         _take(left, {top: 1}, 1)
-        options = fillings(sorted(left, reverse=True), left, capacity - top)
+        options = fillings(sorted(left, reverse=True), left, capacity - top, None if exact else FILLINGS)
         _give(left, {top: 1}, 1)
         for filling in options:
             use: dict[int, int] = {top: 1}
             for n in filling:
                 use[n] = use.get(n, 0) + 1
-            times = min(left[n] // k for n, k in use.items())
-            lost = waste + (capacity - top - sum(filling)) * times
-            if (bins - 1) * capacity - total < lost:  # no fewer bins than the incumbent can come of this
-                continue
-            _take(left, use, times)
-            done.append(((top, *filling), times))
-            search(used + times, lost, done)
-            done.pop()
-            _give(left, use, times)
-            if bins <= fewest or spent > nodes:
-                return
+            most = min(left[n] // k for n, k in use.items())
+            for times in range(most, 0 if exact else most - 1, -1):
+                lost = waste + (capacity - top - sum(filling)) * times
+                if (bins - 1) * capacity - total < lost:  # no fewer bins than the incumbent can come of this
+                    continue
+                _take(left, use, times)
+                done.append(((top, *filling), times))
+                search(used + times, lost, done)
+                done.pop()
+                _give(left, use, times)
+                if bins <= fewest or (spent > nodes and not exact):
+                    return
 
     if bins > fewest:
         limit = sys.getrecursionlimit()
@@ -212,7 +225,7 @@ def _cut(path: str, capacity: int):
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_cut(path, capacity), _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(_cut(path, capacity)), _PIECES)
 
 
 def _place(where: dict[int, np.ndarray]):
@@ -246,7 +259,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(begun.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("begun") + F.col("nth")).select(*pieces.columns, "rank")
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInPandas(_place(where), schema)
+    return ranked.mapInPandas(lean(_place(where)), schema)
 
 
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,27 @@ Documents are laid out in ascending doc_id order (null first; equal ids by text)
 range of documents as shards of about SHARD_IDS ids; a document never crosses shards.  A shard is one row of a
 Parquet table in the shared folder, so any store that Spark reaches can hold it:
 
-  part, shard   place in the order; `first_key` is the shard's smallest key
+  part, shard   place in the order; `first_key` and `last_key` are the shard's smallest and largest keys
   width         bytes of an id: 2 if the vocabulary fits, else 4, little-endian
   ids           the raw ids of all its documents, each ending with id 0
-  index         the index image: levels of a bit array (minimal perfect hash), then for each slot a 32-bit
-                fingerprint of its key, its document's first id and number of ids, and how many documents share the key
-
-Access by key is constant time: hash into the levels, rank the bit, compare the fingerprint, slice the ids.
-Equal doc_ids (repeated rows) lie side by side; the index holds the key once, with how many there are.
-
-Cases: null text is the end id alone; an empty table gives no shard.
+  keys          the key and the number of ids of each document
+  index         the index image: levels of a bit array (minimal perfect hash) with rank samples, then for each slot a
+                32-bit fingerprint of its key, its document's first id and number of ids, how many documents share the
+                key, and which of the shard's documents is the first of them
+
+A key's shards are those whose range holds it.  Access within a shard is constant time: hash into the levels, rank the
+bit, compare the fingerprint, slice the ids.  Equal doc_ids (repeated rows) lie side by side, ordered by text, in one
+shard or in shards that follow one another; the index holds the key once, with how many there are.
+
+Cases: null text is the end id alone, as is an empty one; a very long text makes a shard of its own; a null doc_id comes
+first, and a doc_id of -2^63 counts as null; other columns, whatever their names, are not read; an empty table gives
+no shard.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, partitions, ship, table
+from keyloom.llm.common import lean, materialize, partitions, ship, table
 from keyloom.llm.kernels import U64, mix64
 from keyloom.llm.tokens import default_path, encoder, in_lots
 
@@ -39,7 +46,7 @@ END_ID = 0
 LEVEL_BITS = 2.0
 MAX_LEVELS = 48
 NULL_KEY = -(1 << 63)
-_MAGIC = b"KLMPH1\0\0"
+_MAGIC = b"KLMPH2\0\0"
 
 
 def _seeded(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -48,12 +55,15 @@ def _seeded(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectIndex:
-    """A minimal perfect hash of distinct 64-bit keys, with a fingerprint and a payload row for each slot."""
+    """A minimal perfect hash of distinct 64-bit keys, with a fingerprint and a payload row for each slot.
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, fingerprints: np.ndarray, rows: np.ndarray):
-        self.sizes, self.bits, self.fingerprints, self.rows = sizes, bits, fingerprints, rows
+    The bits of all levels lie in 64-bit words; `ranks` has the number of bits before each word, so a key's slot is a
+    probe a level, one rank and one population count, and loading an image copies nothing.
+    """
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, ranks: np.ndarray, fingerprints: np.ndarray, rows: np.ndarray):
+        self.sizes, self.words, self.ranks, self.fingerprints, self.rows = sizes, words, ranks, fingerprints, rows
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.ranks = np.concatenate([[0], np.cumsum(bits)]).astype(np.int64)
 
     @staticmethod
     def build(keys: np.ndarray, rows: np.ndarray) -> "PerfectIndex":
@@ -73,27 +83,30 @@ class PerfectIndex:
             bits.append(alone)
         if len(left):
             raise ValueError("keys of an index must be distinct")
-        bits = np.concatenate(bits) if bits else np.zeros(0, dtype=bool)
+        bits = np.concatenate([*bits, np.zeros(-base % 64, dtype=bool)])
+        words = np.packbits(bits, bitorder="little").view("<u8")
+        ranks = np.cumsum(np.bitwise_count(words), dtype=np.uint32) - np.bitwise_count(words)
         slot = (np.cumsum(bits) - 1)[at] if len(keys) else at
         fingerprints, out = np.zeros(len(keys), dtype=np.uint32), np.zeros(rows.shape, dtype=np.uint32)
         fingerprints[slot] = _seeded(keys, 97).astype(np.uint32)
         out[slot] = rows
-        return PerfectIndex(np.array(sizes, dtype=np.int64), bits, fingerprints, out)
+        return PerfectIndex(np.array(sizes, dtype=np.int64), words, ranks, fingerprints, out)
 
     def dump(self) -> bytes:
-        head = _MAGIC + struct.pack("<III", len(self.sizes), len(self.fingerprints), self.rows.shape[1])
-        return head + self.sizes.astype("<i8").tobytes() + np.packbits(self.bits).tobytes() + self.fingerprints.astype("<u4").tobytes() + self.rows.astype("<u4").tobytes()
+        head = _MAGIC + struct.pack("<IIII", len(self.sizes), len(self.words), len(self.fingerprints), self.rows.shape[1])
+        parts = ((self.sizes, "<i8"), (self.words, "<u8"), (self.ranks, "<u4"), (self.fingerprints, "<u4"), (self.rows, "<u4"))
+        return head + b"".join([x.astype(t).tobytes() for x, t in parts])
 
     @staticmethod
     def load(image: bytes) -> "PerfectIndex":
         if image[:8] != _MAGIC:
             raise ValueError("not an index image")
-        levels, n, columns = struct.unpack_from("<III", image, 8)
-        sizes = np.frombuffer(image, "<i8", levels, 20)
-        at, n_bits = 20 + 8 * levels, int(sizes.sum())
-        bits = np.unpackbits(np.frombuffer(image, np.uint8, -(-n_bits // 8), at), count=n_bits).astype(bool)
-        at += -(-n_bits // 8)
-        return PerfectIndex(sizes, bits, np.frombuffer(image, "<u4", n, at), np.frombuffer(image, "<u4", n * columns, at + 4 * n).reshape(n, columns))
+        levels, n_words, n, columns = struct.unpack_from("<IIII", image, 8)
+        at, out = 24, []
+        for count, t in ((levels, "<i8"), (n_words, "<u8"), (n_words, "<u4"), (n, "<u4"), (n * columns, "<u4")):
+            out.append(np.frombuffer(image, t, count, at))
+            at += out[-1].nbytes
+        return PerfectIndex(*out[:4], out[4].reshape(n, columns))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where the fingerprint tells that it has none."""
@@ -103,8 +116,10 @@ class PerfectIndex:
             if not len(left):
                 break
             place = self.starts[level] + (_seeded(keys[left], level) % U64(size)).astype(np.int64)
-            set_ = self.bits[place]
-            out[left[set_]] = self.ranks[place[set_]]
+            word, bit = self.words[place >> 6], (place & 63).astype(np.uint64)
+            set_ = (word >> bit & U64(1)).astype(bool)
+            below = word & ((U64(1) << bit) - U64(1))
+            out[left[set_]] = (self.ranks[place >> 6].astype(np.int64) + np.bitwise_count(below))[set_]
             left = left[~set_]
         known = out >= 0
         wrong = self.fingerprints[out[known]] != _seeded(keys[known], 97).astype(np.uint32)
@@ -112,7 +127,7 @@ class PerfectIndex:
         return out
 
 
-_SHARDS = "part int, shard int, first_key long, n_docs long, n_ids long, width int, ids binary, keys binary, index binary"
+_SHARDS = "part int, shard int, first_key long, last_key long, n_docs long, n_ids long, width int, ids binary, keys binary, index binary"
 
 
 def _image(part: int, shard: int, keys: list[int], ids: list[np.ndarray], width: int) -> pa.RecordBatch:
@@ -121,9 +136,9 @@ def _image(part: int, shard: int, keys: list[int], ids: list[np.ndarray], width:
     starts = np.cumsum(sizes) - sizes
     rows = np.stack([starts[first], sizes[first], np.diff(np.append(first, len(keys_))), first], axis=1)
     payload = np.concatenate(ids).astype("<u2" if width == 2 else "<u4").tobytes()
-    row = [part, shard, keys[0], len(keys), int(sizes.sum()), width, payload, _pack(keys_, sizes), PerfectIndex.build(keys_[first], rows).dump()]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "shard", "first_key", "n_docs", "n_ids", "width", "ids", "keys", "index"])
+    row = [part, shard, keys[0], keys[-1], len(keys), int(sizes.sum()), width, payload, _pack(keys_, sizes), PerfectIndex.build(keys_[first], rows).dump()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "shard", "first_key", "last_key", "n_docs", "n_ids", "width", "ids", "keys", "index"])
 
 
 def _pack(keys: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -157,24 +172,51 @@ def write_token_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -
     spark = docs.sparkSession
     ship(spark)
     laid = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(laid.mapInArrow(_write(path, shard_ids), _SHARDS), "token-shards")
+    return materialize(laid.mapInArrow(lean(_write(path, shard_ids)), _SHARDS), "token-shards")
 
 
-def document_ids(index: PerfectIndex, ids: bytes, width: int, key: int) -> list[np.ndarray]:
-    """The ids of all documents of one key, empty if it is not there."""
-    slot = int(index.find(np.array([key], dtype=np.int64))[0])
+def document_ids(shard: dict, key: int | None) -> list[np.ndarray]:
+    """The ids of each document of one key in a shard (a row of the table), in its order; empty if it has none."""
+    key = NULL_KEY if key is None else key
+    slot = int(PerfectIndex.load(shard["index"]).find(np.array([key], dtype=np.int64))[0])
     if slot < 0:
         return []
-    start, size, n, _ = index.rows[slot].tolist()
-    out = []
-    everything = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
-    if n == 1:
-        return [everything[start : start + size]]
-    for _ in range(n):  # documents of one key lie side by side, each ending with the end id
-        out.append(everything[start : start + size])
-        start += size
-        size = int(np.flatnonzero(everything[start:] == END_ID)[0]) + 1 if start < len(everything) else 0
-    return out
+    start, _, n, first = PerfectIndex.load(shard["index"]).rows[slot].tolist()
+    if np.frombuffer(shard["keys"], "<i8", 1, 8 * first)[0] != key:  # another key of the same fingerprint
+        return []
+    end = start + np.cumsum(np.frombuffer(shard["keys"], "<u4", n, 8 * shard["n_docs"] + 4 * first).astype(np.int64))
+    ids = np.frombuffer(shard["ids"], "<u2" if shard["width"] == 2 else "<u4")
+    return [ids[a:b] for a, b in zip([start, *end[:-1]], end, strict=True)]
+
+
+def _looked_up(keys: list[int | None]):
+    wanted = np.unique(np.array([NULL_KEY if k is None else k for k in keys], dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                for key in wanted[np.searchsorted(wanted, shard["first_key"]) : np.searchsorted(wanted, shard["last_key"], "right")].tolist():
+                    found = document_ids(shard, key)
+                    doc_id = None if key == NULL_KEY else key
+                    columns = [[doc_id] * len(found), [shard["part"]] * len(found), [shard["shard"]] * len(found), range(len(found)), found]
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "part", "shard", "nth", "ids"])
+
+    return run
+
+
+def lookup(shards: DataFrame, keys: list[int | None]) -> DataFrame:
+    """doc_id, part, shard, nth, ids of every document of the keys; copies of a key may lie in several shards.
+
+    Only shards whose range of keys holds one of the keys are read; Parquet's statistics drop files where there are few keys.
+    """
+    ship(shards.sparkSession)
+    known = [NULL_KEY if k is None else k for k in keys]
+    within = (F.col("first_key") <= max(known, default=0)) & (F.col("last_key") >= min(known, default=0))
+    if 0 < len(known) <= 64:
+        within = functools.reduce(operator.or_, [(F.col("first_key") <= k) & (F.col("last_key") >= k) for k in known])
+    read = shards.where(within).select("part", "shard", "first_key", "last_key", "n_docs", "width", "ids", "keys", "index")
+    return read.mapInArrow(lean(_looked_up(keys)), "doc_id long, part int, shard int, nth int, ids array<long>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +248,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("ids_of_part").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     begun = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("shard_start")).join(parts, "part")
-    rows = shards.select("part", "shard", "n_docs", "width", "ids", "keys", "index").mapInArrow(_digests, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "shard", "n_docs", "width", "ids", "keys", "index").mapInArrow(lean(_digests), "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(begun.hint("merge"), ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -4,7 +4,8 @@ The vocabulary's pattern starts a new piece at every space that is followed by a
 byte-level BPE encodes each piece by itself.  So texts may be cut before each space, the distinct chunks looked up in a
 memo, and the library asked only for those not met before: many in one call, its answer cut again where an id
 starts with a space.  A chunk of a word and a sign, or with a line end inside, is put together from its parts.  A text in
-which a space follows white space and stands before white space or the end goes to the library whole.  Ids are the
+which a space follows white space and stands before white space or the end goes to the library whole, as does one that
+holds an added token of the vocabulary, such as an end marker, which the library turns into that token's id.  Ids are the
 library's own either way.
 
 The memo holds arrays, not Python objects: sorted 64-bit hashes, a second 64-bit hash against collisions, and where
@@ -116,7 +117,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Tokens that the library finds in a text before anything else: such a text is not cut.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocab_size = self.library.get_vocab_size()
         begins = {sign: np.zeros(self.vocab_size, dtype=bool) for sign in "ĠĊ"}
         for token, i in self.library.get_vocab().items():
@@ -188,7 +190,7 @@ class Encoder:
         """The ids of each text."""
         if not texts:
             return []
-        uncut = [_JOINED.search(t) is not None for t in texts]
+        uncut = [_JOINED.search(t) is not None or any(a in t for a in self.added) for t in texts]
         cut = pc.split_pattern(pa.array(["" if u else t for u, t in zip(uncut, texts, strict=True)], pa.large_string()), " ")
         offsets = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()

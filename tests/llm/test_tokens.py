@@ -6,15 +6,19 @@ import zlib
 import numpy as np
 import pytest
 from llm_helpers import documents
+from tokenizers import Tokenizer
 
 from keyloom.llm import tokens
 from keyloom.llm.packing import best_fit, cut_pieces, fillings, pack, pack_counts, segments
-from keyloom.llm.token_shards import NULL_KEY, PerfectIndex, document_ids, read_token_shards, write_token_shards
+from keyloom.llm.token_shards import NULL_KEY, PerfectIndex, document_ids, lookup, read_token_shards, write_token_shards
 from keyloom.llm.tokens import default_path, encoder, in_lots
 
 
+PLAIN = Tokenizer.from_file(default_path())
+
+
 def ids_of(text):
-    return [*encoder(default_path()).library.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def crc(ids):
@@ -29,7 +33,7 @@ def test_memo_gives_the_librarys_ids(monkeypatch, corpus, odd_texts):
     for most in (tokens.MEMO_CHUNKS, 300):
         monkeypatch.setattr(tokens, "MEMO_CHUNKS", most)
         got = [x for lo, hi in in_lots(texts, 5000) for x in e.many(texts[lo:hi])]
-        assert [g.tolist() for g in got] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in got] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
     assert list(in_lots(["a" * 10, "b", "c" * 99, ""], 11)) == [(0, 2), (2, 3), (3, 4)] or list(in_lots([])) == []
 
 
@@ -44,16 +48,59 @@ def expected_shards(rows):
 
 @pytest.mark.parametrize("shard_ids", [1, 300, 1 << 20])
 def test_shards_round_trip(spark, corpus, odd_texts, shard_ids):
-    rows = corpus + [(2000 + i, t) for i, t in enumerate(odd_texts)] + [(5, "twice"), (5, "twice"), (5, None), (None, "no id")]
+    rows = corpus + [(2000 + i, t) for i, t in enumerate(odd_texts)] + [(5, "wow! yes"), (5, "wow! yes"), (5, "!"), (5, None), (None, "no id"), (6, "a <|endoftext|> b")]
     shards = write_token_shards(documents(spark, rows), default_path(), shard_ids)
     assert sorted(map(tuple, read_token_shards(shards).collect()), key=repr) == expected_shards(rows)
-    for s in shards.collect():  # keyed access
-        index = PerfectIndex.load(bytes(s["index"]))
-        key = int(np.frombuffer(s["keys"], "<i8", 1)[0])
-        wanted = sorted(ids_of(t) for d, t in rows if (NULL_KEY if d is None else d) == key)
-        found = sorted(x.tolist() for x in document_ids(index, bytes(s["ids"]), s["width"], key))
-        assert all(x in wanted for x in found) and found
-        assert document_ids(index, bytes(s["ids"]), s["width"], 123456789) == []
+    found = {}
+    for s in shards.orderBy("part", "shard").collect():  # keyed access
+        s = s.asDict()
+        for key in set(np.frombuffer(s["keys"], "<i8", s["n_docs"]).tolist()):
+            found.setdefault(key, []).extend(x.tolist() for x in document_ids(s, key))
+        assert document_ids(s, 123456789) == []
+    wanted = {}
+    for d, t in sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode())):
+        wanted.setdefault(NULL_KEY if d is None else d, []).append(ids_of(t))
+    assert found == wanted
+    keys = [5, 6, None, 2003, -8, 10**12]
+    got = lookup(shards, keys).orderBy("part", "shard", "nth").collect()
+    for key in keys:
+        assert [r.ids for r in got if r.doc_id == key] == wanted.get(NULL_KEY if key is None else key, [])
+
+
+def test_added_tokens_are_the_librarys():
+    assert ids_of("a <|endoftext|> b")[2] == 50256
+    assert encoder(default_path()).many(["a <|endoftext|> b"])[0].tolist() == ids_of("a <|endoftext|> b")[:-1]
+
+
+def test_exact_packing_is_optimal():
+    def fewest(pieces, capacity):
+        best = len(pieces)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(pieces):
+                best = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= pieces[i]:
+                    left = list(rooms)
+                    left[left.index(r)] -= pieces[i]
+                    place(i + 1, left)
+            place(i + 1, [*rooms, capacity - pieces[i]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(6)
+    for _ in range(150):
+        capacity = rng.choice([10, 17, 30])
+        pieces = sorted((rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = {n: pieces.count(n) for n in pieces}
+        got = pack_counts(counts, capacity, nodes=1, exact=True)
+        assert sum(k for _, k in got) == fewest(pieces, capacity)
+        assert all(sum(p) <= capacity for p, _ in got) and sum(len(p) * k for p, k in got) == len(pieces)
 
 
 def test_empty_tables(spark):
