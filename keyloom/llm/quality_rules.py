@@ -9,13 +9,19 @@ a bucket with those that agree in the leading SUB_BITS + 1 bits, so a quantile i
 2^SUB_BITS.  It is a set of (group, bucket, count) rows: merging is adding counts, so it forms in partial
 aggregates, small groups merge with their language's and the whole corpus's sketch, and reruns agree exactly.
 
-A threshold is the upper quartile and FENCE times the spread above it, the spread being the distance from the
-median to the upper quartile or the rate's FLOOR if that is more.  Sketches of a language and source count with
-their own rows, the language's and the corpus's in proportion PRIOR / (PRIOR + rows): a group of few rows goes
-by what is usual elsewhere.
-
-Cases: null or empty text has no words and fails the base; null lang and source are groups like others; an empty
-table gives an empty result.
+For each rate TAILS says which share of rows, in hundredths, is taken for sound.  At that quantile begins the tail; a
+sketch's limit lies SPREADS times as far above it as it lies above the median, that distance MIN_SPREAD at least.  The corpus's limit is its
+sketch's.  A language's follows its own sketch within the corpus's, a source's within its language's:
+
+* If the median lies above the limit of the level above, such text is what the group is made of, and its own limit
+  stands.
+* Otherwise it may exceed the upper level's median by twice what the upper limit does: a source that is dirty in part
+  can't switch off the rule for itself.
+* It counts with the group's rows, the upper level's with PRIOR rows: a group of few rows goes by what is usual.
+
+Cases: null or empty text has no words and fails the base; null lang and source are groups like others; values on a
+limit are kept; repeated rows count each; a very long text is judged as a whole, in one task; the judged columns are
+picked by name and others, of any name, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +34,12 @@ from keyloom.llm.common import SPACES, let, materialize, table, word_list
 MIN_WORDS = 50
 MOST_REPEATED = 50
 SUB_BITS = 5
-FENCE = 8
 PRIOR = 64
-#: Rates in thousandths, and the least spread that counts as one.
-FLOORS = {"symbol_rate": 12, "line_rate": 50, "repeat_rate": 50, "length_rate": 150}
+#: Rates in thousandths (length_rate: hundredths of a character), and the hundredths of rows that are taken for sound.
+TAILS = {"symbol_rate": 90, "line_rate": 98, "repeat_rate": 98, "length_rate": 90}
+#: Distances from the median to the tail between the tail and a limit, and the least that counts as one.
+SPREADS = 2
+MIN_SPREAD = 4
 
 SYMBOLS = "#*$%&|<>"
 
@@ -87,37 +95,34 @@ def bucket(x: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, rate, bucket, n): one mergeable sketch for each language, source and rate."""
-    each = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in FLOORS]), F.array(*[F.col(k) for k in FLOORS]))).alias("rate", "value")
+    each = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in TAILS]), F.array(*[F.col(k) for k in TAILS]))).alias("rate", "value")
     return rows.select("lang", "source", each).groupBy("lang", "source", "rate", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def sketch_limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, mid, top, rows) of each merged sketch: its median, its limit, what it counts."""
+    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "rate")
+    counted = merged.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "rows": F.sum("n").over(whole)})
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in TAILS.items() for x in kv]), F.col("rate"))
+    found = counted.groupBy(*keys, "rate").agg(F.min(F.when(2 * F.col("upto") >= F.col("rows"), F.col("bucket"))).alias("mid"), F.min(F.when(100 * F.col("upto") >= share * F.col("rows"), F.col("bucket"))).alias("tail"), F.max("rows").alias("rows"))
+    return found.select(*keys, "rate", "mid", (F.col("tail") + SPREADS * F.greatest(F.col("tail") - F.col("mid"), F.lit(MIN_SPREAD))).alias("top"), "rows")
+
+
+def _within(level: DataFrame, above: DataFrame, keys: list[str], on: Column) -> DataFrame:
+    """The limits of a level (l) within those of the level above (u)."""
+    bounded = F.when((F.col("l.rows") >= PRIOR) & (F.col("l.mid") > F.col("u.top")), F.col("l.top")).otherwise(F.least(F.col("l.top"), 2 * F.col("u.top") - F.col("u.mid")))
+    joined = level.alias("l").join(above.alias("u"), on & (F.col("l.rate") == F.col("u.rate"))).select(*[f"l.{k}" for k in keys], "l.rate", "l.mid", "l.rows", bounded.alias("own"), F.col("u.top").alias("up"))
+    return joined.select(*keys, "rate", "mid", "rows", F.expr(f"(rows * own + {PRIOR} * up) div (rows + {PRIOR})").alias("top"))
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """(lang, source, <rate>_limit for each rate) from the sketches of the rows."""
     own = sketches(rows)
-    by_lang = own.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
-    whole = by_lang.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
-
-    def weighed(s: DataFrame, keys: list[str], level: str) -> DataFrame:
-        return s.select(*keys, "rate", "bucket", (F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "rate"))).alias("share"), F.sum("n").over(Window.partitionBy(*keys, "rate")).alias("rows")).withColumn("level", F.lit(level))
-
-    groups = own.groupBy("lang", "source", "rate").agg(F.sum("n").alias("rows_of_group"))
-    g, o, b, w = groups.alias("g"), weighed(own, ["lang", "source"], "own").alias("o"), weighed(by_lang, ["lang"], "lang").alias("b"), weighed(whole, [], "all").alias("w")
-    same_lang, same_rate = F.col("g.lang").eqNullSafe(F.col("b.lang")), F.col("g.rate") == F.col("b.rate")
-    keep = F.col("rows_of_group") / (F.col("rows_of_group") + PRIOR)
-    lang_keep = F.col("b.rows") / (F.col("b.rows") + PRIOR)
-    cols = ["g.lang", "g.source", "g.rate"]
-    parts = [
-        g.join(o, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")) & (F.col("g.rate") == F.col("o.rate"))).select(*cols, "bucket", (F.col("share") * keep).alias("share")),
-        g.join(b, same_lang & same_rate).select(*cols, "bucket", (F.col("share") * (1 - keep) * lang_keep).alias("share")),
-        g.join(b.select("lang", "rate", "rows").distinct().alias("b"), same_lang & same_rate).join(w, F.col("g.rate") == F.col("w.rate")).select(*cols, F.col("w.bucket").alias("bucket"), (F.col("w.share") * (1 - keep) * (1 - lang_keep)).alias("share")),
-    ]
-    merged = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("lang", "source", "rate", "bucket").agg(F.sum("share").alias("share"))
-    running = merged.withColumn("upto", F.sum("share").over(Window.partitionBy("lang", "source", "rate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # 1e-9: sums of shares differ in their last digits with the order of adding
-    q = running.groupBy("lang", "source", "rate").agg(F.min(F.when(F.col("upto") >= 0.5 - 1e-9, F.col("bucket"))).alias("q2"), F.min(F.when(F.col("upto") >= 0.75 - 1e-9, F.col("bucket"))).alias("q3"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("rate"))
-    limits = q.withColumn("limit", F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q2"), floor))
-    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col("limit"))).alias(f"{k}_limit") for k in FLOORS])
+    corpus = F.broadcast(sketch_limits(own, []))  # a row for each rate
+    by_lang = _within(sketch_limits(own, ["lang"]), corpus, ["lang"], F.lit(True))
+    limits = _within(sketch_limits(own, ["lang", "source"]), by_lang, ["lang", "source"], F.col("l.lang").eqNullSafe(F.col("u.lang")))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col("top"))).alias(f"{k}_limit") for k in TAILS])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -127,9 +132,9 @@ def judge(docs: DataFrame) -> DataFrame:
     r, t = rows.alias("r"), limits.alias("t")
     joined = r.join(t, F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source")), "left")
     within = F.lit(True)
-    for k in FLOORS:
+    for k in TAILS:
         within = within & (F.col(k) <= F.coalesce(F.col(f"{k}_limit"), F.col(k)))
-    return joined.select("r.*", *[f"{k}_limit" for k in FLOORS], (~F.col("base_failed") & within).alias("kept"))
+    return joined.select("r.*", *[f"{k}_limit" for k in TAILS], (~F.col("base_failed") & within).alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +149,19 @@ def oracle() -> str:
         "repeat_rate": "CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END",
         "length_rate": "CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END",
     }
-    values = ", ".join(f"('{k}', {k}, {v})" for k, v in FLOORS.items())
+    values = ", ".join(f"('{k}', {k}, {v})" for k, v in TAILS.items())
     drop = f"greatest(0, length(bin(x)) - {SUB_BITS + 1})"
+
+    def quantile(share: str) -> str:  # the smallest value that so many hundredths of the rows don't exceed, to its bucket
+        return f"list_transform([list_sort(list(x))[({share} * count(*) + 99) // 100]], lambda x: (x >> {drop}) << {drop})[1]"
+
+    def level(keys: str) -> str:
+        return f"SELECT {keys} rate, mid, tail + {SPREADS} * greatest(tail - mid, {MIN_SPREAD}) AS top, n FROM (SELECT {keys} rate, {quantile('50')} AS mid, {quantile('any_value(share)')} AS tail, count(*) AS n FROM sound GROUP BY {keys} rate)"
+
+    def within(keys: str, on: str) -> str:
+        own = f"CASE WHEN l.n >= {PRIOR} AND l.mid > u.top THEN l.top ELSE least(l.top, 2 * u.top - u.mid) END"
+        return f"SELECT {keys} l.rate AS rate, l.mid AS mid, (l.n * ({own}) + {PRIOR} * u.top) // (l.n + {PRIOR}) AS top FROM {on}"
+
     return f"""
 WITH texts AS (
   SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -166,34 +182,22 @@ WITH texts AS (
   FROM words LEFT JOIN covered USING (id)
 ), rated AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {", ".join(f"{e} AS {k}" for k, e in rates.items())} FROM base
-), sketch AS (
-  SELECT lang, source, rate, floor, (x >> {drop}) << {drop} AS bucket, count(*) AS n
-  FROM (SELECT lang, source, rate, x, floor FROM rated, LATERAL (VALUES {values}) AS v(rate, x, floor) WHERE NOT base_failed) GROUP BY ALL
-), of_lang AS (
-  SELECT lang, rate, bucket, sum(n) AS n FROM sketch GROUP BY ALL
-), own_size AS (
-  SELECT lang, source, rate, floor, sum(n) AS own_n FROM sketch GROUP BY ALL
-), lang_size AS (
-  SELECT lang, rate, sum(n) AS lang_n FROM sketch GROUP BY ALL
-), groups AS (
-  SELECT o.*, lang_n, own_n / (own_n + {PRIOR}.0) AS keep, lang_n / (lang_n + {PRIOR}.0) AS lang_keep FROM own_size o JOIN lang_size l ON o.rate = l.rate AND o.lang IS NOT DISTINCT FROM l.lang
-), whole AS (
-  SELECT rate, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY rate) AS share FROM sketch GROUP BY rate, bucket
-), merged AS (
-  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.n / own_n * keep AS share FROM groups g JOIN sketch s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
-  UNION ALL
-  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.n / lang_n * (1 - keep) * lang_keep FROM groups g JOIN of_lang s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang
-  UNION ALL
-  SELECT g.lang, g.source, g.rate, g.floor, s.bucket, s.share * (1 - keep) * (1 - lang_keep) FROM groups g JOIN whole s ON g.rate = s.rate
-), running AS (
-  SELECT lang, source, rate, floor, bucket, sum(sum(share)) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto FROM merged GROUP BY lang, source, rate, floor, bucket
+), sound AS (
+  SELECT lang, source, rate, x, share FROM rated, LATERAL (VALUES {values}) AS v(rate, x, share) WHERE NOT base_failed
+), of_corpus AS (
+  {level("")}
+), of_langs AS (
+  {level("lang,")}
+), of_sources AS (
+  {level("lang, source,")}
+), langs AS (
+  {within("l.lang AS lang,", "of_langs l JOIN of_corpus u ON l.rate = u.rate")}
 ), limits AS (
-  SELECT lang, source, rate, q3 + {FENCE} * greatest(q3 - q2, floor) AS most
-  FROM (SELECT lang, source, rate, floor, min(bucket) FILTER (upto >= 0.5 - 1e-9) AS q2, min(bucket) FILTER (upto >= 0.75 - 1e-9) AS q3 FROM running GROUP BY ALL)
+  {within("l.lang AS lang, l.source AS source,", "of_sources l JOIN langs u ON l.rate = u.rate AND l.lang IS NOT DISTINCT FROM u.lang")}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (
     SELECT 1 FROM limits l WHERE l.lang IS NOT DISTINCT FROM r.lang AND l.source IS NOT DISTINCT FROM r.source
-      AND most < CASE l.rate {" ".join(f"WHEN '{k}' THEN r.{k}" for k in FLOORS)} END) AS kept
+      AND top < CASE l.rate {" ".join(f"WHEN '{k}' THEN r.{k}" for k in TAILS)} END) AS kept
 FROM rated r
 """

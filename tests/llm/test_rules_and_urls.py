@@ -9,7 +9,7 @@ from llm_helpers import documents
 from pyspark.sql import functions as F
 
 from keyloom.llm import url_filter
-from keyloom.llm.quality_rules import FLOORS, SUB_BITS, base_counts, bucket, judge, rated, repeated_words, sketches, thresholds
+from keyloom.llm.quality_rules import SUB_BITS, TAILS, base_counts, bucket, judge, rated, repeated_words, sketches, thresholds
 
 
 def counts(text):
@@ -58,7 +58,7 @@ def test_thresholds_adapt_and_keep_the_usual(spark):
     assert [got[d].base_failed for d in (5000, 5001, 5002, 5003, 5004)] == [False, True, True, True, False]
     limits = {r.source: r for r in thresholds(rated(base_counts(documents(spark, usual + marked)))).collect()}
     assert limits["b"].symbol_rate_limit > limits["a"].symbol_rate_limit
-    assert set(limits["a"].asDict()) == {"lang", "source"} | {f"{k}_limit" for k in FLOORS}
+    assert set(limits["a"].asDict()) == {"lang", "source"} | {f"{k}_limit" for k in TAILS}
 
 
 def test_rules_empty(spark):
@@ -67,7 +67,7 @@ def test_rules_empty(spark):
 
 URLS = [
     None, "", "no scheme", "http://", "https://Example.ORG/es/1?q", "https://www.example.org/en/1776.html", "http://example.org/en/2", "http://notexample.org/es/", "https://x.com/fr/1", "https://x.com/de/",
-    "https://x.com/de", "http://a.b.cheap-pills.example.com/x", "http://cheap-pills.example.com", "http://org/", "http://ORG?x", "ftp://.org/", "x://y://z.org/es/", "http://Éxample.org/é/#t", "https://ads-track.example.com/de/9", "http://host/a\nb",
+    "https://x.com/de", "http://a.b.cheap-pills.example.com/x", "http://cheap-pills.example.com", "http://me:x@ads-track.example.com.:8080?q", "http://x.com/a//./b", "http://ads-track.example.com:/./x", "http://@:80/",  "http://org/", "http://ORG?x", "ftp://.org/", "x://y://z.org/es/", "http://Éxample.org/é/#t", "https://ads-track.example.com/de/9", "http://host/a\nb",
 ]
 
 
