@@ -6,8 +6,13 @@ For a page the candidates are its host's label suffixes times the path lengths t
 probed in one 256-bit block of the filter, and only possible hits reach the exact join, which removes the false
 positives.
 
-Cases: a null url or one without `://` has empty host and path and fits nothing; an empty list allows all;
-repeated pages keep their rows; other columns of the pages are ignored.
+Rules are held against host and path as the url has them.  The list is held against the canonical URL: the host without
+user, port and closing dots, the path with `/` for nothing and single slashes for runs of `/` and `/./`; a list, a
+table of any size, must hold canonical entries.
+
+Cases: a null url or one without `://` has empty host and path and fits nothing; an empty list allows all; an empty
+table of pages gives an empty result; a very long url is judged as a whole; repeated pages keep their rows; other
+columns of the pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import table
+from keyloom.llm.common import partitions, table
 
 #: Bits set for each key, all within one block of four 64-bit words.
 PROBES = 6
@@ -44,6 +49,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(has, lower).otherwise(""), F.when(has, path).otherwise("")
 
 
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+    return host, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"/(\.?/)+", "/"))
+
+
 def _block(host: Column, path: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(host, path), F.lit(n_blocks))
 
@@ -98,11 +108,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFra
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     entries = rules.select("host", "path", "verdict", F.lit(True).alias("is_rule")).unionByName(listed.select("host", "path", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule")))
     entries = entries.groupBy("host", "path").agg(F.max(F.struct("is_rule", "verdict")).alias("x")).select("host", "path", "x.*")
-    urls = judged.select("host", "path").distinct()
-    best = match_listed(urls, entries.where("is_rule")).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias("by_rule"))
-    more = match_listed(urls, entries.where("not is_rule")).select("host", "path", F.concat("entry.host", "entry.path").alias("listed"))
-    found = best.join(more, ["host", "path"], "full")
-    return judged.join(found, ["host", "path"], "left").select(
+    judged = judged.withColumns(dict(zip(("c_host", "c_path"), canonical(F.col("host"), F.col("path")), strict=True)))
+    n = partitions(pages.sparkSession)  # probing is work: few bytes, but many probes
+
+    def distinct(host: str, path: str) -> DataFrame:
+        return judged.select(F.col(host).alias("host"), F.col(path).alias("path")).where("host <> ''").repartition(n, "host", "path").distinct()
+
+    best = match_listed(distinct("host", "path"), entries.where("is_rule")).select("host", "path", F.concat("entry.host", "entry.path").alias("rule"), F.col("entry.verdict").alias("by_rule"))
+    more = match_listed(distinct("c_host", "c_path"), entries.where("not is_rule")).select(F.col("host").alias("c_host"), F.col("path").alias("c_path"), F.concat("entry.host", "entry.path").alias("listed"))
+    return judged.join(best, ["host", "path"], "left").join(more, ["c_host", "c_path"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "listed"
     )
 
@@ -121,6 +135,9 @@ WITH cut AS (
     CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM cut
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS c_host,
+    CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/(\\.?/)+', '/', 'g') END AS c_path FROM parts
 ), rules(h, p, v) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
 ), listed(h) AS (
@@ -130,7 +147,7 @@ SELECT page_id, host, path,
   (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
   coalesce(
     (SELECT arg_max(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
-    CASE WHEN EXISTS (SELECT 1 FROM listed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/')) THEN 'block' ELSE 'allow' END) AS verdict,
-  (SELECT max(h || '/') FROM listed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/')) AS listed
-FROM parts
+    CASE WHEN EXISTS (SELECT 1 FROM listed WHERE (c_host = h OR ends_with(c_host, '.' || h)) AND starts_with(c_path, '/')) THEN 'block' ELSE 'allow' END) AS verdict,
+  (SELECT max(h || '/') FROM listed WHERE (c_host = h OR ends_with(c_host, '.' || h)) AND starts_with(c_path, '/')) AS listed
+FROM named
 """
