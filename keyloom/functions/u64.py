@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from decimal import Decimal
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,12 @@ def draw(seed: int, n: Column) -> Column:
 
 
 def remainder(x: Column, m: int) -> Column:
-    """x mod m for unsigned x, 0 < m < 2^62."""
-    if not 0 < m < 1 << 62:
-        raise ValueError("the modulus must lie in 1 .. 2^62 - 1")
+    """x mod m for unsigned x, 0 < m < 2^64."""
+    if not 0 < m <= MASK:
+        raise ValueError("the modulus must lie in 1 .. 2^64 - 1")
+    if m >= 1 << 62:  # halves would overflow
+        left = (x.cast("decimal(20,0)") + F.when(x < 0, F.lit(Decimal(1 << 64))).otherwise(F.lit(Decimal(0)))) % F.lit(Decimal(m))
+        return (left - F.when(left >= F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64))).otherwise(F.lit(Decimal(0)))).cast("bigint")
     m_ = F.lit(m).cast("bigint")
     return ((F.shiftrightunsigned(x, 1) % m_) * 2 + x.bitwiseAND(F.lit(1).cast("bigint"))) % m_
 

@@ -7,7 +7,7 @@ Both sides are counted by key first, partly before the shuffle, so a hot key cos
 sees each key once: its output is bounded by distinct keys.  Null keys match nothing.  A count is a BIGINT.
 Strategies:
   key          exchange by key (default); keys of one partition spread over all tasks
-  pid          both sides by partition id, the literal radix layout, for load studies
+  pid          counted keys by partition id, the literal radix layout, for load studies
   broadcast    the smaller counted side goes to all executors, if its rows are at most BROADCAST_KEYS
   merge, hash  exchange by key with a sort-merge or a shuffled hash join
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.u64 import GAMMA, signed, splitmix64, u64, unsigned_string, wrapping
+from keyloom.functions.u64 import GAMMA, splitmix64, u64, unsigned_string, wrapping
 from keyloom.operators.partition import check_partitions, partition_id
 
 STRATEGIES = ("key", "pid", "broadcast", "merge", "hash")
@@ -42,8 +42,7 @@ def matched(r: DataFrame, s: DataFrame, r_key: str, s_key: str, strategy: str =
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
     if strategy == "pid":
         check_partitions(p)
-        a, b = (x.where(F.col(k).isNotNull()).select(F.col(k).cast("bigint").alias("key")).withColumn("pid", partition_id(F.col("key"), p)).repartitionById(p, "pid") for x, k in ((r, r_key), (s, s_key)))
-        a, b = (x.groupBy("pid", "key").agg(F.count("*").alias(n)) for x, n in ((a, "m_r"), (b, "m_s")))
+        a, b = (multiplicities(x, k, n).withColumn("pid", partition_id(F.col("key"), p)).repartitionById(p, "pid") for x, k, n in ((r, r_key, "m_r"), (s, s_key, "m_s")))
         return a.join(b, ["pid", "key"]).select("key", (F.col("m_r") * F.col("m_s")).alias("m"))
     a, b = multiplicities(r, r_key, "m_r"), multiplicities(s, s_key, "m_s")
     if strategy == "broadcast":
@@ -94,7 +93,3 @@ def merge_digests(parts: DataFrame) -> DataFrame:
 def shown(digest: DataFrame) -> DataFrame:
     """A digest with its values as unsigned decimal strings."""
     return digest.select(*[unsigned_string(F.col(c)).alias(c) if c in _DIGEST else F.col(c) for c in digest.columns])
-
-
-def shown_int(x: int) -> str:
-    return str(x & (1 << 64) - 1) if signed(x) < 0 else str(x)

@@ -177,4 +177,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements(UNIFORM, CONSTANT)
+    return oracle.statements(UNIFORM, CONSTANT, SKEWED, SKEWED_WIDE, SKEWED_SMALL)

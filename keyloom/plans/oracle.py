@@ -6,7 +6,7 @@ DuckDB's UHUGEINT has room for products of 64-bit values; each step is brought b
 from __future__ import annotations
 
 from keyloom.functions.u64 import GAMMA, MIX_1, MIX_2
-from keyloom.sources.generator import RelationSpec
+from keyloom.sources.generator import RelationSpec, draws_of_skewed, hot_partitions
 
 _TWO64 = "18446744073709551616::UHUGEINT"
 
@@ -70,7 +70,32 @@ def _uniform(spec: RelationSpec) -> str:
     return f"WITH g AS ({start}), {_steps('t', 'g', ['d'], 'row_idx')} SELECT row_idx, (d % {spec.max_key})::BIGINT AS key FROM t2"
 
 
-def statements(uniform: RelationSpec, constant: RelationSpec) -> dict[str, str]:
+def _skewed(spec: RelationSpec) -> str:
+    """(row_idx, key) of a skewed relation; the hot partitions are literals.
+
+    Where record i begins is found by doubling: k(b) leads from a draw to where 2^b records later begin, and the bits
+    of i say which of them to follow.
+    """
+    hot, bits = hot_partitions(spec), max(1, (spec.n - 1).bit_length())
+    out = [f"g AS (SELECT range AS j, ({spec.seed}::UHUGEINT + (range + 1)::UHUGEINT * {GAMMA}::UHUGEINT) % {_TWO64} AS d FROM range({4 * spec.n + 8}))", _steps("t", "g", ["d"], "j")]
+    out.append(f"w AS MATERIALIZED (SELECT j, d, d::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE AS u, (d::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE) < {spec.sigma}::DOUBLE AS skewed FROM t2)")
+    out.append(f"k0 AS MATERIALIZED (SELECT j, j + CASE WHEN skewed THEN {draws_of_skewed(spec)} ELSE 2 END AS after FROM w)")
+    out += [f"k{b} AS MATERIALIZED (SELECT x.j, y.after FROM k{b - 1} x JOIN k{b - 1} y ON x.after = y.j)" for b in range(1, bits)]
+    out.append(f"p0 AS (SELECT range AS i, 0::BIGINT AS place FROM range({spec.n}))")
+    out += [f"p{b + 1} AS MATERIALIZED (SELECT i, CASE WHEN (i >> {b}) & 1 = 1 THEN after ELSE place END AS place FROM p{b} LEFT JOIN k{b} ON place = j)" for b in range(bits)]
+    cells = "a.skewed AS skewed, b.d AS d2, c.d AS d3, e.d AS d4, " + f"[{', '.join(map(str, hot))}][least(floor(pow(b.u, {spec.crest}::DOUBLE) * {len(hot)})::BIGINT, {len(hot) - 1}) + 1] AS target"
+    out.append(f"r AS (SELECT i, {cells} FROM p{bits} JOIN w a ON a.j = place JOIN w b ON b.j = place + 1 JOIN w c ON c.j = place + 2 JOIN w e ON e.j = place + 3)")
+    if spec.max_key < spec.p:
+        key = f"target % {spec.max_key}"
+    elif spec.max_key < 1 << 32:
+        key = f"(d3 % {spec.max_key // spec.p})::BIGINT * {spec.p} + target"
+    else:
+        high, low = f"(d3 % {spec.max_key >> 32})::BIGINT", f"(d4 % {(1 << 32) // spec.p})::BIGINT * {spec.p}"
+        key = f"({high} << 32) + {low} + xor(target, {high} % {spec.p})"
+    return f"WITH {', '.join(out)} SELECT i AS row_idx, (CASE WHEN skewed THEN {key} ELSE (d2 % {spec.max_key})::BIGINT END)::BIGINT AS key FROM r"
+
+
+def statements(uniform: RelationSpec, constant: RelationSpec, skewed: RelationSpec, wide_spec: RelationSpec, small: RelationSpec) -> dict[str, str]:
     orders = _digest(_pairs("lineitem", "l_orderkey", "orders", "o_orderkey"))
     part = _digest(_pairs("lineitem", "l_partkey", "part", "p_partkey"))
     nations = _digest(_pairs("supplier", "s_nationkey", "nation", "n_nationkey"))
@@ -104,6 +129,11 @@ def statements(uniform: RelationSpec, constant: RelationSpec) -> dict[str, str]:
         "key_frequency": "SELECT l_suppkey AS key, count(*) AS n FROM lineitem GROUP BY 1",
         "generate_uniform": _uniform(uniform),
         "generate_constant": f"SELECT range AS row_idx, 0::BIGINT AS key FROM range({constant.n})",
+        "generate_skewed": _skewed(skewed),
+        "generate_skewed_wide": _skewed(wide_spec),
+        "generate_skewed_small": _skewed(small),
+        "generated_load": f"SELECT pid AS id, n AS records, round(n * 100.0::DOUBLE / sum(n) OVER (), 2) AS percent FROM ({_histogram('(' + _skewed(skewed) + ')', 'key', skewed.p)})",
+        "synthetic_join_digest_skewed": _digest(_pairs(f"({_skewed(skewed)})", "key", f"({_skewed(skewed.other())})", "key")),
         "synthetic_join_digest_uniform": _digest(_pairs(f"({_uniform(uniform)})", "key", f"({_uniform(uniform.other())})", "key")),
         "sample_stats": "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS median, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1",
         "critical_path": "SELECT phase, max(s) AS seconds FROM (SELECT l_suppkey, l_returnflag AS phase, sum(l_quantity) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1",

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.u64 import GAMMA, MASK, MIX_1, MIX_2, OTHER_SEED, draw, remainder, wrapping
+from keyloom.functions.u64 import GAMMA, MASK, MIX_1, MIX_2, OTHER_SEED, ceil_div, draw, remainder, wrapping
 from keyloom.operators.partition import check_partitions
 from keyloom.shipping import ship
 from keyloom.sources.shuffle import Twister64, shuffled
@@ -46,8 +46,8 @@ class RelationSpec:
 
     def __post_init__(self):
         check_partitions(self.p)
-        if not 0 <= self.n or not 0 <= self.max_key < 1 << 62:
-            raise ValueError("n must not be negative and max_key must lie in 0 .. 2^62 - 1")
+        if not 0 <= self.n or not 0 <= self.max_key <= MASK:
+            raise ValueError("n must not be negative and max_key must lie in 0 .. 2^64 - 1")
 
     def other(self) -> "RelationSpec":
         """The second relation of a pair."""
@@ -180,7 +180,7 @@ def _skewed_key(spec: RelationSpec, d: np.ndarray, u: np.ndarray, at: np.ndarray
 def _generate_skewed(spark: SparkSession, spec: RelationSpec, chunk: int = CHUNK) -> DataFrame:
     ship(spark)
     hot = hot_partitions(spec)
-    n_chunks = -(-spec.n * max(2, draws_of_skewed(spec)) // chunk)
+    n_chunks = ceil_div(spec.n * max(2, draws_of_skewed(spec)), chunk)
     tables = spark.range(n_chunks, numPartitions=max(1, min(n_chunks, 4 * spark.sparkContext.defaultParallelism)))
     found = tables.mapInPandas(_chunk_tables(spec, chunk), "chunk long, entry int, records long, leave int").toPandas()  # four rows for each chunk of a million draws
     by = {(c, e): (n, x) for c, e, n, x in found.itertuples(index=False)}

@@ -45,7 +45,7 @@ def test_remainder_and_doubles(spark):
     got = [r.y for r in frame(spark, [0, 1 << 63, MASK]).select(unit_double(F.col("x")).alias("y")).collect()]
     assert got == [0.0, 0.5, 1.0]
     with pytest.raises(ValueError):
-        remainder(F.lit(1), 1 << 62)
+        remainder(F.lit(1), 1 << 64)
 
 
 def test_small_functions(spark):
@@ -69,3 +69,12 @@ def test_twister_and_shuffle():
     assert shuffled([], Twister64(1)) == [] and shuffled([7], Twister64(1)) == [7]
     for n in range(2, 40):
         assert sorted(shuffled(list(range(n)), Twister64(n))) == list(range(n))
+
+
+def test_remainder_of_large_moduli(spark):
+    values = [0, 1, (1 << 62) - 1, 1 << 62, (1 << 63) - 1, 1 << 63, (1 << 63) + 5, MASK - 1, MASK]
+    df = spark.createDataFrame([(signed(v),) for v in values], "x bigint")
+    for m in ((1 << 62) - 1, 1 << 62, (1 << 63) + 5, MASK):
+        with wrapping(spark):
+            got = [r[0] for r in df.select(remainder(F.col("x"), m)).collect()]
+        assert got == [signed(v % m) for v in values]
