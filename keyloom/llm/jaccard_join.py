@@ -620,3 +620,27 @@ def set_digest(text: Column) -> Column:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_classes(table(spark, sf_dir, "documents"))
+
+
+#: The result stated by all shingles and all pairs that share one.
+OP2_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s FROM texts, unnest(generate_series(1, greatest(1, len(w) - {SHINGLE - 1}))) AS g(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT id, count(*) AS n FROM shingles GROUP BY id
+), common AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * c.n >= {LIKE} * (x.n + y.n - c.n)
+), reached AS (
+  SELECT id AS a, id AS b FROM sizes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (
+  SELECT r.a AS id, min(t.doc_id) AS least FROM reached r JOIN texts t ON t.id = r.b GROUP BY r.a
+), counts AS (
+  SELECT a AS id, count(*) AS n FROM links GROUP BY a
+)
+SELECT doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(c.n, 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN sizes s ON s.id = t.id LEFT JOIN components m ON m.id = t.id LEFT JOIN counts c ON c.id = t.id
+"""

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import quality_rules
 from keyloom.llm.fingerprints import op6_fingerprints
-from keyloom.llm.jaccard_join import op2_jaccard_join
+from keyloom.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from keyloom.llm.mixing import op5_mix_sources
 from keyloom.llm.packing import op7_pack_sequences
 from keyloom.llm.quality_classifier import op10_quality_classifier
 from keyloom.llm.quality_rules import op4_quality_rules
-from keyloom.llm.repeats import op1_suffix_dedup
+from keyloom.llm.repeats import OP1_SQL, op1_suffix_dedup
 from keyloom.llm.token_shards import op8_token_shards
 from keyloom.llm.toxicity import op3_toxicity
 from keyloom.llm.url_filter import OP9_SQL, op9_url_filter
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle(), "op9_url_filter": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op4_quality_rules": quality_rules.oracle(), "op9_url_filter": OP9_SQL}

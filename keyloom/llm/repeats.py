@@ -410,3 +410,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] =
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The result stated by all windows as hex strings, taken from chunks of 2000 bytes.
+OP1_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, -9223372036854775808) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents
+), chunks AS (
+  SELECT id, place, c, substr(h, (4000 * c + 1)::INT, {4000 + 2 * (WIDTH - 1)}) AS h FROM texts, unnest(generate_series(0, len(h) // 4000)) AS s(c)
+), windows AS (
+  SELECT id, place, 2000 * c + k AS i, substr(h, (2 * k + 1)::INT, {2 * WIDTH}) AS w FROM chunks, unnest(generate_series(0, least(1999, len(h) // 2 - {WIDTH}))) AS s(k)
+), repeated AS (
+  SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS before FROM (SELECT id, i, place, min(place) OVER (PARTITION BY w) AS first FROM windows) WHERE first < place
+), spans AS (
+  SELECT id, min(i) AS a, max(i) + {WIDTH} AS b FROM (SELECT id, i, sum((before IS NULL OR i - before > {WIDTH})::INT) OVER (PARTITION BY id ORDER BY i) AS span FROM repeated) GROUP BY id, span
+), gaps AS (
+  SELECT id, a, b, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY a) AS kept_from FROM spans
+), parts AS (
+  SELECT t.id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, (2 * kept_from + 1)::INT, (2 * (a - kept_from))::INT), '' ORDER BY a) AS head, max(b) AS last
+  FROM gaps g JOIN texts t USING (id) GROUP BY t.id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN p.id IS NULL THEN h ELSE head || substr(h, (2 * last + 1)::INT) END)) AS kept_sha256
+FROM texts LEFT JOIN parts p USING (id)
+"""
