@@ -7,7 +7,9 @@ after the hash, so equal fingerprints mean equal canonical bytes, not merely equ
 exact digests is 1 or 0.
 
 Cases: null text is empty; an empty text has the digest of the empty string; the document after the last is the
-first; equal doc_ids are ordered by text, null first; an empty table gives an empty result.
+first; equal doc_ids are ordered by text, null first, so repeated rows follow one another; a very long text is
+digested as a whole, in one task; other columns, whatever their names, are not read; an empty table gives an empty
+result.  Bytes are compared for texts of documents; edited texts go by their 128 bits alone.
 """
 
 from __future__ import annotations

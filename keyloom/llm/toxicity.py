@@ -15,7 +15,9 @@ Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2, at
 of least crc32 of the id and a seed.  Labels, lang, source and doc_id are no inputs of the score.
 
 Cases: null or empty texts score as texts without evidence; without labels of both kinds all score 0; documents
-with equal ids are scored each by its text; an empty table gives an empty result.
+with equal ids and repeated rows are scored each by its text; of equally probable paths the one found first is taken; a
+very long text is scored as a whole, in one task, and its spans of any length are decoded whole; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
