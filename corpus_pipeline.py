@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 written as Parquet and read again as the next stage's docs.  All but the last return the columns of documents.
 
 Cases: a table without rows passes through every stage; null texts are empty; the join's stage decides
-by row, so rows of one doc_id or of none that link with nothing all stay, as do texts without words; columns that documents have besides are kept.
+by row, so rows of one doc_id or of none that link with nothing all stay, as do texts without words; of equal rows the
+join's stage keeps one; a very long text goes through every stage whole; columns that documents have besides are kept.
 """
 
 from __future__ import annotations
