@@ -1,8 +1,8 @@
 """Document fingerprints by a canonical exact digest.
 
 Canonical form: NFKC, case folding, NFKC again, runs of white space to one space, none at the ends.  Its UTF-8
-bytes go to a 128-bit xxhash.  Documents with equal hashes form a bucket; within a bucket bytes are compared
-with the bucket's smallest text; if any differ, all texts of that bucket get the SHA-256 of their canonical bytes
+bytes go to a 128-bit xxhash.  Documents with equal hashes form a bucket; a bucket's canonical texts are merged byte for byte, in each task
+before they are shuffled; if two or more are left, all texts of that bucket get the SHA-256 of their canonical bytes
 after the hash, so equal fingerprints mean equal canonical bytes, not merely equal hashes.  The likeness of two
 exact digests is 1 or 0.
 
@@ -19,11 +19,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import materialize, partitions, ship, table
@@ -98,18 +97,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
 
+_CHAIN = "doc_id long, n_chars long, hash string, edited_sha256 string, edited_hash string, next_hash string"
+
+
 def _close(digest: Digest):
-    """The last rows of the ranges, each with the first text of the next range (after the last: of the first)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at").reset_index(drop=True)
-        texts = list(zip(pdf["last_text"], [*pdf["first_text"][1:], pdf["first_text"][0]], strict=True))
-        ends = [edited(a, b) for a, b in texts]
-        return pdf.assign(
-            edited_sha256=[hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in ends],
-            edited_hash=[digest(e) for e in ends],
-            next_hash=[digest(b) for _, b in texts],
-        )
+    """The last rows of ranges (doc_id, n_chars, hash, text, following), with what comes of the text that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, new = batch.columns[:3], []
+            for text, following in zip(batch.column(3), batch.column(4), strict=True):
+                text, following = text.as_py(), following.as_py()
+                e = edited(text, following)
+                new.append((hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(e), digest(following)))
+            new = [pa.array([row[k] for row in new], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, *new], names=[x.split()[0] for x in _CHAIN.split(", ")])
 
     return run
 
@@ -120,9 +122,13 @@ def fingerprint_chain(docs: DataFrame, digest: Digest) -> DataFrame:
     ship(spark)
     laid = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = materialize(laid.mapInArrow(_digests(digest), _ROW), "digests")
-    inner = rows.where(F.col("first_text").isNull())
-    ends = rows.where(F.col("first_text").isNotNull()).groupBy(F.lit("all").alias("all")).applyInPandas(_close(digest), _ROW)  # one row for each range
-    return inner.unionByName(ends).select("doc_id", "n_chars", "hash", "edited_sha256", "edited_hash", "next_hash")
+    inner = rows.where(F.col("first_text").isNull()).select("doc_id", "n_chars", "hash", "edited_sha256", "edited_hash", "next_hash")
+    ends = rows.where(F.col("first_text").isNotNull())
+    # the windows hold a number for each range, not its texts
+    after = F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(Window.partitionBy()))
+    following = ends.select(F.col("at").alias("after"), F.col("first_text").alias("following"))
+    ends = ends.select("at", "doc_id", "n_chars", "hash", "last_text").join(ends.select("at", after.alias("after")), "at").join(following, "after")
+    return inner.unionAll(ends.select("doc_id", "n_chars", "hash", "last_text", "following").mapInArrow(_close(digest), _CHAIN))
 
 
 #: 64-bit words of the filter that picks the texts of shared buckets before they are shuffled: at most 1 MB.
@@ -154,17 +160,16 @@ def _forms(digest: Digest, words: np.ndarray):
 def mixed_buckets(docs: DataFrame, hashes: DataFrame, digest: Digest) -> DataFrame:
     """(hash) of the buckets whose canonical texts are not all the same bytes.
 
-    Only buckets of two or more documents are compared.  A filter of at most FILTER_WORDS words picks their texts in
-    the scan; the exact join by hash follows.
+    A filter of at most FILTER_WORDS words picks the texts of buckets of two or more documents in the scan, and some
+    others, which change nothing.  Equal texts are merged before the shuffle, which deals by text, so copies are a row a task.
     """
-    shared = materialize(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
+    shared = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     bit = F.conv(F.substring("hash", -6, 6), 16, 10).cast("long") % (64 * FILTER_WORDS)
     words = np.zeros(FILTER_WORDS, dtype=np.uint64)
     for r in shared.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         words[r["w"]] = r["b"] & (1 << 64) - 1
-    forms = docs.select("text").mapInArrow(_forms(digest, words), "hash string, form binary").join(shared, "hash")
-    smallest = forms.groupBy("hash").agg(F.min("form").alias("least"))
-    return forms.join(smallest, "hash").where(F.col("form") != F.col("least")).select("hash").distinct()
+    forms = docs.select("text").mapInArrow(_forms(digest, words), "hash string, form binary").distinct()
+    return forms.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
 
 
 def _same(a: Column, b: Column) -> Column:
