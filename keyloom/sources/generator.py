@@ -3,9 +3,9 @@
 A relation's records draw from one splitmix64 stream.  A record's first draw decides whether it is skewed; a
 plain record takes its key from the second.  A skewed record uses 2 to 4 draws (see `_skewed_key`), so where a record's
 draws begin depends on all records before it.  Draw number j of a stream is a closed formula, though, and the place
-after a record depends only on the draw at its beginning.  So the axis of draws is cut in chunks; for each chunk and each
-way to enter it, its exit and number of records are found in parallel, the small tables are composed, and a second
-parallel pass makes the records.
+after a record depends only on the draw at its beginning.  So the axis of draws is cut in chunks, and spans of chunks; for each
+span and each way to enter it, its exit and number of records are found in parallel, the driver composes these tables
+of four rows a span, and a second parallel pass makes the records.
 
 Uniform relations have two draws a record and are a plain projection of spark.range.
 """
@@ -28,8 +28,9 @@ from keyloom.sources.shuffle import Twister64, shuffled
 # Fixed value: what separates the seed of the choice of hot partitions from the relation's.
 HOT_SEED = 0xDEADBEEF
 _WORD = 1 << 32
-#: Draws of a chunk.
+#: Draws of a chunk, and the most chunks of a span, which is a task's work.
 CHUNK = 1 << 20
+SPAN = 256
 
 
 @dataclass(frozen=True)
@@ -128,37 +129,43 @@ def _walk(long: np.ndarray, entry: int, step: int) -> tuple[np.ndarray, int]:
     return places, last + int(width[last]) - n
 
 
-def _chunk_tables(spec: RelationSpec, chunk: int):
+def _span_tables(spec: RelationSpec, chunk: int, size: int, n_chunks: int):
     step = draws_of_skewed(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for c in pdf["id"].tolist():
-                long = _unit(draws(spec.seed, c * chunk + 1, chunk)) < spec.sigma
-                for entry in range(4):
-                    places, leave = _walk(long, entry, step)
-                    rows.append((c, entry, len(places), leave))
-            yield pd.DataFrame(rows, columns=["chunk", "entry", "records", "leave"])
+            for span in pdf["id"].tolist():
+                at, records = list(range(4)), [0] * 4
+                for c in range(span * size, min((span + 1) * size, n_chunks)):
+                    long = _unit(draws(spec.seed, c * chunk + 1, chunk)) < spec.sigma
+                    # walks from different entries soon meet, and then are one
+                    found = {entry: (len(places), leave) for entry in set(at) for places, leave in [_walk(long, entry, step)]}
+                    records = [n + found[x][0] for n, x in zip(records, at, strict=True)]
+                    at = [found[x][1] for x in at]
+                yield pd.DataFrame({"span": span, "entry": range(4), "records": records, "leave": at})
 
     return run
 
 
-def _records(spec: RelationSpec, chunk: int, hot: list[int]):
+def _records(spec: RelationSpec, chunk: int, size: int, n_chunks: int, hot: list[int]):
     step, hot_ = draws_of_skewed(spec), np.array(hot, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for c, entry, first in zip(pdf["chunk"].tolist(), pdf["entry"].tolist(), pdf["first"].tolist(), strict=True):
-                d = draws(spec.seed, c * chunk + 1, chunk + 4)
-                u = _unit(d)
-                places, _ = _walk(u[:chunk] < spec.sigma, entry, step)
-                places = places[: spec.n - first]
-                skewed = u[places] < spec.sigma
-                key = (d[places + 1] % np.uint64(spec.max_key)).astype(np.int64)
-                at = places[skewed]
-                key[skewed] = _skewed_key(spec, d, u, at, hot_)
-                yield pd.DataFrame({"row_idx": np.arange(first, first + len(places)), "key": key})
+            for span, entry, first in zip(pdf["span"].tolist(), pdf["entry"].tolist(), pdf["first"].tolist(), strict=True):
+                for c in range(span * size, min((span + 1) * size, n_chunks)):
+                    if first >= spec.n:
+                        break
+                    d = draws(spec.seed, c * chunk + 1, chunk + 4)
+                    u = _unit(d)
+                    places, entry = _walk(u[:chunk] < spec.sigma, entry, step)
+                    places = places[: spec.n - first]
+                    skewed = u[places] < spec.sigma
+                    key = (d[places + 1] % np.uint64(spec.max_key)).astype(np.int64)
+                    at = places[skewed]
+                    key[skewed] = _skewed_key(spec, d, u, at, hot_)
+                    yield pd.DataFrame({"row_idx": np.arange(first, first + len(places)), "key": key})
+                    first += len(places)
 
     return run
 
@@ -181,17 +188,19 @@ def _generate_skewed(spark: SparkSession, spec: RelationSpec, chunk: int = CHUNK
     ship(spark)
     hot = hot_partitions(spec)
     n_chunks = ceil_div(spec.n * max(2, draws_of_skewed(spec)), chunk)
-    tables = spark.range(n_chunks, numPartitions=max(1, min(n_chunks, 4 * spark.sparkContext.defaultParallelism)))
-    found = tables.mapInPandas(_chunk_tables(spec, chunk), "chunk long, entry int, records long, leave int").toPandas()  # four rows for each chunk of a million draws
+    size = max(1, min(SPAN, ceil_div(n_chunks, 4 * spark.sparkContext.defaultParallelism)))
+    n_spans = ceil_div(n_chunks, size)
+    tables = spark.range(n_spans, numPartitions=max(1, n_spans))
+    found = tables.mapInPandas(_span_tables(spec, chunk, size, n_chunks), "span long, entry int, records long, leave int").toPandas()  # four rows for each span
     by = {(c, e): (n, x) for c, e, n, x in found.itertuples(index=False)}
     plan, entry, first = [], 0, 0
-    for c in range(n_chunks):
+    for span in range(n_spans):
         if first >= spec.n:
             break
-        records, leave = by[c, entry]
-        plan.append((c, entry, first))
+        records, leave = by[span, entry]
+        plan.append((span, entry, first))
         entry, first = leave, first + records
     if not plan:
         return spark.createDataFrame([], "row_idx long, key long")
-    starts = spark.createDataFrame(plan, "chunk long, entry int, first long").repartition(min(len(plan), 4 * spark.sparkContext.defaultParallelism))
-    return starts.mapInPandas(_records(spec, chunk, hot), "row_idx long, key long")
+    starts = spark.createDataFrame(plan, "span int, entry int, first long").repartitionById(len(plan), "span")
+    return starts.mapInPandas(_records(spec, chunk, size, n_chunks, hot), "row_idx long, key long")
