@@ -158,8 +158,6 @@ def metadata_view(data: np.ndarray, offsets: np.ndarray, lang: list[str | None],
     named = [sorted({zlib.crc32(f"lang={a}".encode()) % META_HASHED, zlib.crc32(f"source={b}".encode()) % META_HASHED}) for a, b in zip(lang, source, strict=True)]
     place = np.array([x for own in named for x in own], dtype=np.int32)
     hashed = place, np.full(len(place), 0.5, dtype=np.float32), np.concatenate([[0], np.cumsum([len(own) for own in named], dtype=np.int64)])
-    if not len(data):
-        return Sparse(*hashed, out, META_HASHED)
     size = np.maximum(1, np.diff(offsets)).astype(np.float64)
     starts, ends, first = word_bounds(data, offsets)
     words = np.maximum(1, np.diff(first)).astype(np.float64)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -212,3 +214,59 @@ def test_restoration_of_all_shapes_of_hiding(spark, labelled):
     spaced = " ".join("idiot" * 40)
     assert len(spaced) > 64 and restore(spaced).split() == restore(spaced).replace(" ", "").replace("idiot", "idiot ").split()
     assert restore("in 1 2 3 and 10 20 30") == "in 1 2 3 and 10 20 30"
+
+
+def test_toxicity_scores_against_a_plain_path(spark, labelled, odd_texts):
+    """Log-odds by counting sets of features, scores by looking each word's features up."""
+    rows, labels = labelled
+    odd = [(2000 + i, t) for i, t in enumerate(odd_texts)]
+    docs, frame = documents(spark, rows + odd), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.character_model(docs)
+    evidence = toxicity.learn(docs, frame, model)
+    restore = toxicity.Restorer(model)
+
+    def found(text):
+        out = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xBF\xC3-\xFF]+", restore(text or "").encode()):
+            out |= set(toxicity.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[1].tolist())
+        return out
+
+    texts = {r[0]: r[1] for r in rows + odd}
+    learned = [(found(texts[d]), t) for d, _, t in labels if not held_out(d)]
+    n, bad = len(learned), sum(t for _, t in learned)
+    weight = {}
+    for f in set().union(*[x for x, _ in learned]):
+        count, toxic = sum(f in x for x, _ in learned), sum(t for x, t in learned if f in x)
+        w = math.log((toxic + 0.1) / (bad + 0.2)) - math.log((count - toxic + 0.1) / (n - bad + 0.2))
+        if count >= toxicity.LEAST_DOCS and toxic and w > 0:
+            weight[f] = w
+    got = dict(zip(evidence.feature.tolist(), evidence.weight.tolist(), strict=True))
+    assert got.keys() == weight.keys() and all(math.isclose(got[f], weight[f]) for f in weight)
+    for r in toxicity.score_toxicity(docs, frame).collect():
+        top = sorted((weight[f] for f in found(texts[r.doc_id]) if f in weight), reverse=True)[: toxicity.TOP]
+        z = sum(a * b for a, b in zip(top, evidence.scale, strict=False)) + evidence.scale[-1]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_quality_scores_against_a_plain_path(spark, labelled, odd_texts):
+    """Each row alone, its views as plain vectors."""
+    rows, labels = labelled
+    every = rows + [(2000 + i, t, None, None) for i, t in enumerate(odd_texts)]
+    docs, frame = documents(spark, every), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_classifier.learn(docs, frame)
+    by = {r.doc_id: r for r in quality_classifier.score_quality(docs, frame).collect()}
+    assert by.keys() == {r[0] for r in every}
+
+    def logistic(z):
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    for d, text, lang, source in every[:60] + every[len(rows) :]:
+        ((_, _, *views),) = quality_classifier.views(pa.array([text], pa.string()), [lang], [source])
+        z = []
+        for x, w, (slope, intercept) in zip(views, model.parts, model.scales, strict=True):
+            row = np.zeros(x.shape[1])
+            np.add.at(row, x.place, x.value)
+            row[x.hashed :] = x.dense[0]
+            z.append(slope * (sum(a * b for a, b in zip(row.tolist(), w.tolist(), strict=False) if a) + float(w[-1])) + intercept)
+        expected = [logistic(z[0] * model.both[0] + z[1] * model.both[1] + model.both[2]), logistic(z[0]), logistic(z[1])]
+        assert np.allclose([by[d].score, by[d].content_score, by[d].metadata_score], expected, atol=2e-3), (d, expected)
