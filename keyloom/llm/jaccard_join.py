@@ -17,7 +17,8 @@ n - ceil(0.75 n) + 1, their prefix.
    first, the sketches too: once to verify each set's likeliest partner outside its component, which joins what
    belongs together, and once, with the components that result, all pairs that are left.  So each pair that shares a
    prefix shingle is rejected by a bound, verified or already connected: no link is lost, and a group of very many near copies
-   costs about its size, not its square.
+   costs about its size, not its square.  A list of many sets is paired in tiles of two blocks of it, so no task holds a
+   list as a whole.
 5. Components of all verified links; copies (equal sets) take part once and get their class at the end.  A set's node
    begins with its least doc_id, so a component's least node names its least document.
 6. Links lie inside components, so all pairs of a component's sets are verified, in tiles of two blocks of sets, and
@@ -68,6 +69,10 @@ COMPARED_AT_ONCE = 4096
 #: Pairs looked at and entries of lists held at once.
 PAIRS_AT_ONCE = 1 << 18
 ENTRIES_AT_ONCE = 50_000
+#: Sets of a block of a list: longer lists are paired in tiles of two blocks.  Pairs of a tile that wait for their sketches, and that go out at once.
+LIST_SETS = 1024
+PAIRS_HELD = 1 << 21
+PAIRS_OUT = 1 << 16
 #: Documents to verify are picked by a broadcast of their ids up to this many (8 MB), beyond by a filter of 64-bit words (1 MB).
 BROADCAST_IDS = 1 << 20
 FILTER_WORDS = 1 << 17
@@ -277,14 +282,16 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _across(likeliest: bool):
-    """Rows (shingle, component, set, n, place, sketch), sorted by shingle, to pairs (a, b) of sets of different components that pass the filters.
+    """Rows (tile, component, set, n, place, sketch), sorted by tile, to pairs (a, b) of sets of different components that pass the filters.
 
     With `likeliest` only the pair of least difference of each set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_lists(batches):
-            yield _pairs(t, likeliest)
+            pairs, names = _pairs(t, likeliest)
+            for lo in range(0, len(pairs), PAIRS_OUT):
+                yield _pair_rows(pairs[lo : lo + PAIRS_OUT], names)
 
     return run
 
@@ -306,7 +313,8 @@ def _partners(which: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[t
         lo = hi
 
 
-def _pairs(t: pa.Table, likeliest: bool) -> pa.RecordBatch:
+def _pairs(t: pa.Table, likeliest: bool) -> tuple[np.ndarray, pa.Array]:
+    """Pairs of rows of the sets' names, one in the upper and one in the lower 32 bits, and these names."""
     sets = t.column(2).combine_chunks().dictionary_encode()
     names, x = sets.dictionary, sets.indices.to_numpy()
     of = np.zeros(len(names), dtype=np.int64)  # a row of each set
@@ -317,24 +325,31 @@ def _pairs(t: pa.Table, likeliest: bool) -> pa.RecordBatch:
     s, n, place = (t.column(i).to_numpy() for i in (0, 3, 4))
     order = np.lexsort((n, s))
     s, n, place, x, c = s[order], n[order], place[order], x[order], c[order]
-    found = [np.zeros(0, dtype=np.int64)]
+
+    def alike(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = pairs >> 32, pairs & 0xFFFFFFFF
+        differ = _differences(packed, u, v)
+        ok = (100 + LIKE) * differ <= (100 - LIKE) * (size[u] + size[v])
+        return pairs[ok], differ[ok]
+
+    kept, found = [], [np.zeros(0, dtype=np.int64)]
     for i, j in _partners(np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])), n, place):
         ok = (c[i] != c[j]) & (x[i] != x[j])
         u, v = x[i[ok]].astype(np.int64), x[j[ok]].astype(np.int64)
         found.append(np.unique(np.minimum(u, v) << 32 | np.maximum(u, v)))
         if len(found) > 8:
             found = [np.unique(np.concatenate(found))]
-    pairs = np.unique(np.concatenate(found))
-    u, v = pairs >> 32, pairs & 0xFFFFFFFF
-    differ = _differences(packed, u, v)
-    ok = (100 + LIKE) * differ <= (100 - LIKE) * (size[u] + size[v])
-    pairs, u, v, differ = pairs[ok], u[ok], v[ok], differ[ok]
+            if len(found[0]) > PAIRS_HELD:
+                kept.append(alike(found[0])[0])
+                found = [found[0][:0]]
+    pairs, differ = alike(np.unique(np.concatenate([*kept, *found])))
     if likeliest and len(pairs):
+        u, v = pairs >> 32, pairs & 0xFFFFFFFF
         one, other, d = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([differ, differ])
         by = np.lexsort((other, d, one))
         first = by[np.concatenate([[True], one[by][1:] != one[by][:-1]])]
         pairs = np.unique(pairs[first % len(pairs)])
-    return _pair_rows(pairs, names)
+    return pairs, names
 
 
 def _equal_width(sketches: list[bytes]) -> dict[int, np.ndarray]:
@@ -462,11 +477,19 @@ def _folded(sketch: pd.Series) -> pd.Series:
 
 
 def _mixed_lists(entries: DataFrame, placed: DataFrame) -> DataFrame:
-    """The entries of lists with sets of several components."""
+    """The entries of lists with sets of several components, and how many blocks a list makes."""
     mark = F.xxhash64("component")
-    groups = placed.groupBy("grp").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-    mixed = entries.join(groups, "grp").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
-    return entries.join(mixed, "shingle", "left_semi")
+    groups = placed.groupBy("grp").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("k"))
+    mixed = entries.join(groups, "grp").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k")).where("low <> high")
+    return entries.join(mixed.select("shingle", F.ceil(F.col("k") / LIST_SETS).cast("int").alias("blocks")), "shingle")
+
+
+def _in_tiles(wide: DataFrame) -> DataFrame:
+    """Rows of lists under each tile that they are paired in.  A list of one block is a tile, any other has one for every two of its blocks."""
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    wide = wide.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("beside"))
+    tile = F.when(F.col("blocks") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("block", "beside"), F.greatest("block", "beside")))
+    return wide.select(tile.alias("tile"), "component", "set", "n", "place", "sketch")
 
 
 _SIGN = -(1 << 63)
@@ -512,11 +535,11 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mixed = None
     for likeliest in (True, False):
         placed = sets.join(of, F.col("set") == F.col("node"), "left").select("set", "grp", F.coalesce("component", "set").alias("component"), "sketch")
-        entries = materialize(_mixed_lists(entries, placed), "mixed")
+        entries = materialize(_mixed_lists(entries.select("shingle", "grp", "n", "place"), placed), "mixed")
         drop_table(listed if mixed is None else mixed)
         mixed = entries
-        wide = entries.join(placed.withColumn("sketch", _folded("sketch")), "grp").select("shingle", "component", "set", "n", "place", "sketch")
-        pairs = wide.repartition(n_shards, "shingle").sortWithinPartitions("shingle").mapInArrow(lean(_across(likeliest)), "a binary, b binary").distinct()
+        wide = entries.join(placed.withColumn("sketch", _folded("sketch")), "grp").select("shingle", "blocks", "component", "set", "n", "place", "sketch")
+        pairs = _in_tiles(wide).repartition(n_shards, "tile").sortWithinPartitions("tile").mapInArrow(lean(_across(likeliest)), "a binary, b binary").distinct()
         more = verified(pairs, sets, docs)
         if not more.isEmpty():
             # what is known of components is a star each, and links may go on from there

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from llm_helpers import documents
 
 from keyloom.llm.components import components
@@ -82,6 +83,38 @@ def test_chains_and_large_groups_of_near_copies(spark):
     assert result(linked_classes(documents(spark, rows))) == brute(rows)
 
 
+def test_long_lists_in_tiles(spark, corpus, monkeypatch):
+    import keyloom.llm.jaccard_join as module
+
+    rng = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(40))
+    shared = [(20_000 + i, common + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(8 + i % 9))) for i in range(70)]
+    rows = corpus + chain(60) + shared
+    monkeypatch.setattr(module, "LIST_SETS", 4)
+    # shingles by hash alone: lists of common ones too
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(module, "shingle_order", lambda docs: module.Order(*none, *none))
+    assert result(linked_classes(documents(spark, rows).repartition(3))) == brute(rows)
+
+
+def test_pairs_held_in_parts(monkeypatch):
+    import keyloom.llm.jaccard_join as module
+
+    rng = np.random.default_rng(6)
+    base = rng.choice(2**60, 60, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - k % 12], rng.choice(2**60, k % 12, replace=False).astype(np.uint64)])) for k in range(90)]
+    names = pa.array([bytes([k]) for k in range(90)], pa.binary())
+    sizes, marks = [len(x) for x in sets], [module.folded(parity_sketch(x), module.LIST_SKETCH) for x in sets]
+    t = pa.table({"tile": pa.array([0] * 90, pa.int64()), "component": names, "set": names, "n": pa.array(sizes, pa.int64()), "place": pa.array([0] * 90, pa.int32()), "sketch": pa.array(marks, pa.binary())})
+    found = []
+    for at_once, held in ((1 << 18, 1 << 21), (50, 60)):
+        monkeypatch.setattr(module, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(module, "PAIRS_HELD", held)
+        found.append([module._pairs(t, likeliest)[0].tolist() for likeliest in (True, False)])
+    assert found[0] == found[1]
+    assert len(found[0][1]) > len(found[0][0]) > 0
+
+
 def test_many_documents_to_verify(spark, corpus, odd_texts, monkeypatch):
     import keyloom.llm.jaccard_join as module
 
