@@ -69,6 +69,21 @@ class Ragged:
         at = np.repeat(self.begin[which] - end + length, length) + np.arange(int(end[-1]) if len(end) else 0)
         return Ragged(self.flat[at], length)
 
+    @staticmethod
+    def taken(parts: list["Ragged"], which: np.ndarray) -> "Ragged":
+        """Rows `which` of the parts end to end, without putting the parts together."""
+        ends = np.cumsum([len(p.length) for p in parts])
+        of = np.searchsorted(ends, which, "right")
+        rows = [np.flatnonzero(of == k) for k in range(len(parts))]
+        some = [p.take(which[at] - (end - len(p.length))) for p, at, end in zip(parts, rows, ends.tolist(), strict=True)]
+        length = np.zeros(len(which), dtype=np.int64)
+        for at, own in zip(rows, some, strict=True):
+            length[at] = own.length
+        out = Ragged(np.zeros(int(length.sum()), dtype=np.uint32), length)
+        for at, own in zip(rows, some, strict=True):
+            out.flat[np.repeat(out.begin[at] - own.begin, own.length) + np.arange(len(own.flat))] = own.flat
+        return out
+
     def __add__(self, other: "Ragged") -> "Ragged":
         return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.length, other.length]))
 
@@ -151,7 +166,7 @@ class Encoder:
         ids = self._joined([chunks[i] for i in new.tolist()], before, begins)
         row = slot.copy()
         row[new] = len(memo.ids.length) + np.arange(len(new))
-        out = (memo.ids + ids).take(row) if len(new) else memo.ids.take(row)
+        out = Ragged.taken([memo.ids, ids], row)
         memo.add(key[new], check[new], ids)
         return out
 
@@ -202,21 +217,19 @@ class Encoder:
         new = np.flatnonzero(slot < 0)
         ids = self._learn(words.take(pa.array(new)).to_pylist())
         slot[new] = len(self.memo.ids.length) + np.arange(len(new))  # _learn() may have added parts, but at the end
-        pool = self.memo.ids + ids
         # a text's first chunk has no space before it; a text that is not cut is its own first chunk
         first = coded.indices.to_numpy()[offsets[:-1]]
         heads = words.take(pa.array(first)).to_pylist()
-        n = len(pool.length)
-        pool = pool + self.whole([t if u else h for t, u, h in zip(texts, uncut, heads, strict=True)])
+        pools = [self.memo.ids, ids, self.whole([t if u else h for t, u, h in zip(texts, uncut, heads, strict=True)])]
         part = slot[coded.indices.to_numpy()]
-        part[offsets[:-1]] = n + np.arange(len(texts))
-        out = pool.take(part)
+        part[offsets[:-1]] = len(self.memo.ids.length) + len(ids.length) + np.arange(len(texts))
+        out = Ragged.taken(pools, part)
         again = self.memo.find(key[new], check[new]) < 0  # a word may have become known as another's part
         self.memo.add(key[new][again], check[new][again], ids.take(np.flatnonzero(again)))
         return np.split(out.flat, np.cumsum(out.length)[offsets[1:-1] - 1])
 
 
-def in_lots(texts: list[str], limit: int = 1 << 22):
+def in_lots(texts: list[str], limit: int = 1 << 21):
     """Index ranges of about `limit` characters of texts; a longer text is alone."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
