@@ -33,6 +33,22 @@ def test_query_against_sql(spark, db, name):
     assert rows == sorted(map(repr, db.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Tables of 1203 suppliers, three of them of no nation, and 25 nations."""
+    path = str(tmp_path_factory.mktemp("many"))
+    spark.range(1203).selectExpr("id AS s_suppkey", "IF(id < 1200, CAST(id * id % 30 AS INT), NULL) AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
+    spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey").write.parquet(f"{path}/nation.parquet")
+    return path
+
+
+def test_self_check_of_more_than_500_rows(spark, many, monkeypatch):
+    assert catalog.join_self_check(spark, many).collect() == [(True,)]
+    real = catalog.digest.join_digest
+    monkeypatch.setattr(catalog.digest, "join_digest", lambda r, s, *keys: real(r.where("s_nationkey > 0"), s, *keys))
+    assert catalog.join_self_check(spark, many).collect() == [(False,)]
+
+
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 

@@ -64,6 +64,23 @@ def test_strategies_agree_with_the_nested_loop(spark, strategy):
         assert digest.join_digest(s, r, "key", "key", strategy, 64).first() == expected
 
 
+@pytest.mark.parametrize("rows,blocks,joined", [(1 << 17, 1 << 13, "BroadcastNestedLoopJoin"), (100, 300, "CartesianProduct")])
+def test_all_pairs_of_sides_of_any_size(spark, monkeypatch, rows, blocks, joined):
+    monkeypatch.setattr(digest, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(digest, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(digest, "TASK_PAIRS", 100_000)
+    r, s = pair(spark, "few keys")
+    nulls = spark.createDataFrame([(None, None)] * 3, "row_idx long, key long")
+    for a, b in ((r, s), (s, r), (r, s.limit(700).unionAll(nulls)), (s.limit(501).unionAll(nulls), r)):
+        got = digest.all_pairs_digest(a, b, "key", "key")
+        assert joined in got._jdf.queryExecution().executedPlan().toString()
+        assert got.first() == digest.join_digest(a, b, "key", "key").first()
+    count, c1, c2 = GOLDEN["few keys"][8:11]
+    row = digest.all_pairs_digest(r, s, "key", "key").first()
+    assert (row.join_count & MASK, row.checksum1 & MASK, row.checksum2 & MASK) == (count, c1, c2)
+    assert tuple(digest.all_pairs_digest(r.where("false"), s, "key", "key").first()) == (0, 0, 0)
+
+
 def test_partition_digests_add_up(spark):
     r, s = pair(spark, "larger")
     whole = digest.join_digest(r, s, "key", "key").first()
