@@ -49,6 +49,16 @@ def test_self_check_of_more_than_500_rows(spark, many, monkeypatch):
     assert catalog.join_self_check(spark, many).collect() == [(False,)]
 
 
+def test_verifier_of_more_than_500_rows(spark, many):
+    got = catalog.join_verify_bruteforce(spark, many)
+    con = duckdb.connect()
+    for t in ("supplier", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{many}/{t}.parquet/*.parquet'")
+    expected = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['join_verify_bruteforce']})").fetchall()
+    assert list(map(tuple, got.collect())) == expected
+    assert expected[0][0] == str(sum(i * i % 30 < 25 for i in range(1200)))
+
+
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
