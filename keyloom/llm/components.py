@@ -15,7 +15,7 @@ from keyloom.llm.common import drop_table, materialize
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b): component is the least node of its component."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = materialize(links, "links")
+    links = materialize(links, "links", few=True)
     while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         # every node now has only smaller neighbours
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "small-star")
+        after = materialize(small, "small-star", few=True)
         drop_table(links)
         links = after
         if _settled(links):

@@ -122,7 +122,7 @@ class Order:
 def shingle_order(docs: DataFrame) -> Order:
     """The order that the documents suggest, from at most MOST_FREQUENT shingles and MOST_WORDS words."""
     found = docs.select("text").mapInArrow(lean(_frequent), "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
-    found = materialize(found, "frequent")
+    found = materialize(found, "frequent", few=True)
     out = []
     for kind, most in ((_SHINGLE, MOST_FREQUENT), (_WORD, MOST_WORDS)):
         rows = found.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash").limit(most).toPandas()
@@ -449,11 +449,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     a = sets.select(F.col("set").alias("a"), F.col("doc_id").alias("a_doc"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     b = sets.select(F.col("set").alias("b"), F.col("doc_id").alias("b_doc"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_sketch", "b_sketch")
-    likely = materialize(likely.mapInArrow(lean(_sketch_filter), "a binary, b binary, a_doc long, b_doc long"), "likely")
+    likely = materialize(likely.mapInArrow(lean(_sketch_filter), "a binary, b binary, a_doc long, b_doc long"), "likely", few=True)
     whole = whole_sets(likely.select(F.col("a_doc").alias("doc_id")).unionAll(likely.select("b_doc")).distinct(), docs)
     x, y = whole.select(F.col("digest").alias("x_digest"), F.col("shingles").alias("x")), whole.select(F.col("digest").alias("y_digest"), F.col("shingles").alias("y"))
     pairs = likely.select("a", "b").join(x, digest_of(F.col("a")) == F.col("x_digest")).join(y, digest_of(F.col("b")) == F.col("y_digest"))
-    out = materialize(pairs.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a binary, b binary").distinct(), "linked-pairs")
+    out = materialize(pairs.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a binary, b binary").distinct(), "linked-pairs", few=True)
     for t in (likely, whole):
         drop_table(t)
     return out
@@ -461,7 +461,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest, shingles) of the documents of the distinct ids `wanted` and of others; a set may come several times."""
-    words, wanted = None, materialize(wanted, "wanted")
+    words, wanted = None, materialize(wanted, "wanted", few=True)
     if wanted.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("_id"))), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     else:
@@ -521,13 +521,13 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = materialize(rows.where(F.col("list").isNull()).select("doc_id", "digest", "grp", "n", "sketch"), "members")
     drop_table(rows)
     sets = members.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
-    sets = materialize(sets.withColumn("set", node(F.col("doc_id"), F.col("digest"))), "sets")
-    heads = materialize(sets.groupBy("grp").agg(F.min("set").alias("head"), F.count("*").alias("k")), "heads")
+    sets = materialize(sets.withColumn("set", node(F.col("doc_id"), F.col("digest"))), "sets", few=True)
+    heads = materialize(sets.groupBy("grp").agg(F.min("set").alias("head"), F.count("*").alias("k")), "heads", few=True)
     star = listed.where(F.col("grp") != F.col("least")).select("grp", "least").distinct()
     star = star.join(heads.select("grp", F.col("head").alias("a")), "grp").join(heads.select(F.col("grp").alias("least"), F.col("head").alias("b")), "least").select("a", "b")
     inner = sets.join(heads.where("k > 1"), "grp").where(F.col("set") != F.col("head")).select(F.col("head").alias("a"), F.col("set").alias("b"))
     links = verified(star.unionAll(inner), sets, docs)
-    of = materialize(components(links), "components")
+    of = materialize(components(links), "components", few=True)
     drop_table(links)
     # the members of a group share its prefix: a list of their own
     own = sets.join(heads.where("k > 1").select("grp"), "grp").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("place")).distinct()
@@ -535,7 +535,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mixed = None
     for likeliest in (True, False):
         placed = sets.join(of, F.col("set") == F.col("node"), "left").select("set", "grp", F.coalesce("component", "set").alias("component"), "sketch")
-        entries = materialize(_mixed_lists(entries.select("shingle", "grp", "n", "place"), placed), "mixed")
+        entries = materialize(_mixed_lists(entries.select("shingle", "grp", "n", "place"), placed), "mixed", few=True)
         drop_table(listed if mixed is None else mixed)
         mixed = entries
         wide = entries.join(placed.withColumn("sketch", _folded("sketch")), "grp").select("shingle", "blocks", "component", "set", "n", "place", "sketch")
@@ -543,7 +543,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         more = verified(pairs, sets, docs)
         if not more.isEmpty():
             # what is known of components is a star each, and links may go on from there
-            before, of = of, materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+            before, of = of, materialize(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components", few=True)
             drop_table(before)
         drop_table(more)
     drop_table(mixed)
@@ -598,7 +598,7 @@ def _tile(listed: bool):
 def _tiles(docs: DataFrame, sets: DataFrame, of: DataFrame):
     """All pairs of sets of one component, in tiles."""
     linked = sets.join(of, F.col("set") == F.col("node")).select("component", "set", "digest", "doc_id", "n", "copies")
-    linked = materialize(linked, "linked")
+    linked = materialize(linked, "linked", few=True)
     whole = whole_sets(linked.select("doc_id").distinct(), docs)
     blocks = linked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = linked.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -632,13 +632,16 @@ def class_heads(docs: DataFrame) -> DataFrame:
 
 
 def set_digest(text: Column) -> Column:
-    """The digest of a text's set, as node() takes it."""
+    """The digest of a text's set, as node() takes it.
+
+    It passes for nondeterministic, else a filter that Spark puts before a join has it computed a second time, by a second Python worker of each task.
+    """
 
     @F.arrow_udf(T.BinaryType())
     def digests(texts: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_128_digest(x.tobytes()) for _, _, data, offsets in slabs(texts) for x in shingle_sets(data, offsets, SHINGLE)], pa.binary())
 
-    return digests(text)
+    return digests.asNondeterministic()(text)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

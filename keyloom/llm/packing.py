@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import lean, materialize, partitions, ship, table
-from keyloom.llm.tokens import default_path, encoder, in_lots
+from keyloom.llm.tokens import LOT, default_path, encoder, in_lots
 
 CAPACITY = 2048
 END_ID = 0
@@ -202,13 +202,13 @@ def segments(packing: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, capacity: int):
+def _cut(path: str, capacity: int, lot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             out: list[tuple] = []
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in in_lots(texts):
+            for lo, hi in in_lots(texts, lot):
                 for key, found in zip(keys[lo:hi], encode.many(texts[lo:hi]), strict=True):
                     ids = np.append(found, np.uint32(END_ID)).astype("<u4")
                     a, b, piece = 0, len(ids) % capacity or min(len(ids), capacity), 0
@@ -222,10 +222,10 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, lot: int = LOT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text), encoded about `lot` characters at once."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lean(_cut(path, capacity)), _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(_cut(path, capacity, lot)), _PIECES)
 
 
 def _place(where: dict[int, np.ndarray]):

@@ -26,6 +26,8 @@ from keyloom.llm.kernels import _BASE, _BYTE, _stream, mix64
 
 VOCABULARY = "byte_bpe_50k.json"
 MEMO_CHUNKS = 2_000_000
+#: Characters of the texts that are encoded at once.
+LOT = 1 << 21
 #: Up to here (Latin letters and signs) the pattern engines' tables of letters surely agree.
 _BEYOND = "ɐ"
 _JOINED = re.compile(r"\s (?:\s|$)")
@@ -229,7 +231,7 @@ class Encoder:
         return np.split(out.flat, np.cumsum(out.length)[offsets[1:-1] - 1])
 
 
-def in_lots(texts: list[str], limit: int = 1 << 21):
+def in_lots(texts: list[str], limit: int = LOT):
     """Index ranges of about `limit` characters of texts; a longer text is alone."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

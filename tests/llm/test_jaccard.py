@@ -7,6 +7,9 @@ import numpy as np
 import pyarrow as pa
 from llm_helpers import documents
 
+from keyloom.llm import components as components_module
+from keyloom.llm import jaccard_join
+from keyloom.llm.common import materialize
 from keyloom.llm.components import components
 from keyloom.llm.jaccard_join import could_link, least_difference, linked_classes, parity_sketch, prefix_size
 
@@ -188,3 +191,31 @@ def test_every_link_is_counted_and_listed(spark, corpus, monkeypatch):
     pairs = {frozenset((least[a], least[b])) for a in least for b in least if a != b and link(a, b)}
     got = [frozenset(r) for r in module.linked_pairs(docs).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+
+
+def test_small_tables_are_written_in_few_files(spark, corpus, monkeypatch):
+    """However many partitions a session has; every file costs processes that count in an executor's memory."""
+    files = {}
+
+    def counted(df, label, *args, **how):
+        out = materialize(df, label, *args, **how)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(components_module, "materialize", counted)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    docs = documents(spark, corpus)
+    want = sorted(map(tuple, linked_classes(docs).collect()))
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        files.clear()
+        got = sorted(map(tuple, linked_classes(docs).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    small = {"frequent", "sets", "heads", "likely", "wanted", "linked-pairs", "links", "small-star", "components", "mixed", "linked"}
+    assert small <= set(files) and max(files[k] for k in small) <= 2 * spark.sparkContext.defaultParallelism, files

@@ -80,3 +80,9 @@ def test_join_stage_keeps_rows_that_link_with_nothing(spark, folder):
     rows = [(None, one), (None, two), (None, two), (5, three), (5, four[:-4]), (3, four), (None, None), (None, " ")]
     got = corpus_pipeline.keep_one_of_each_class(spark, documents(spark, rows), folder)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, one), (None, two), (5, three), (3, four), (None, None), (None, " ")], key=repr)
+
+
+def test_join_stage_computes_a_digest_once(spark, folder):
+    """A second evaluation in the same task is a second Python worker on every core of an executor, kept for the stages that follow."""
+    kept = corpus_pipeline.keep_one_of_each_class(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
